@@ -245,3 +245,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     of_class = classes.withColumnRenamed("node", "key").join(labels, F.col("c") == F.col("node"), "left").select("key", F.coalesce("label", "c").alias("component"))
     rows = sigs.join(of_class, (sigs["node"] == of_class["key"]) & (sigs["n"] > 0), "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, unchanged, less the near copies: of each component the row with the smallest id stays.
+
+    Of rows that share an id one stays. Rows without words are no copies of anything and stay; so do rows
+    with a null id, which nothing names.
+    """
+    found = jaccard_components(docs, width, percent)
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -139,13 +139,18 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     return _chosen(best.orderBy("lang", "r").collect())
 
 
+def _parser(words: dict[str, list[str]]) -> CrossParser:
+    """The parser of these words; a worker keeps the last one built."""
+    key = tuple((k, hash(tuple(v))) for k, v in sorted(words.items()))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = CrossParser(words)
+    return _MODELS[key]
+
+
 def _predictor(model):
     def run(it):
-        key = tuple((k, hash(tuple(v))) for k, v in sorted(model.value.items()))
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = CrossParser(model.value)
-        parse = _MODELS[key]
+        parse = _parser(model.value)
         for b in it:
             found = [parse(t) for t in b.column("text").to_pylist()]
             yield batches({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}, _OUT)
@@ -165,3 +170,21 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None) -> DataFram
     model = spark.sparkContext.broadcast(learn(docs if learned_from is None else learned_from))
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return ready.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of docs, unchanged, whose language can be told: null texts and texts without a letter go.
+
+    Where nothing could be learned (no labelled row), only those go.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    model = spark.sparkContext.broadcast(learn(docs))
+
+    def run(it):
+        parse = _parser(model.value)
+        for b in it:
+            texts = b.column("text").to_pylist()
+            yield b.filter(pa.array([parse(t)[0] != "und" if parse.langs else bool(t and _LETTERS.search(t)) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

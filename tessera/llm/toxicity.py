@@ -3,7 +3,7 @@
 P(grade > k) = 1 / (1 + exp(theta_k - w.x)) for ordered thresholds theta_k. Labels name toxic documents
 only; grades of toxic ones come from a first fit with one threshold: those with at least the median share
 of learned evidence are graded 2 (severe), the others 1. The second fit then shares its weights across
-both thresholds. Features are the presence of uni- and bigrams; L1 leaves the telling ones.
+both thresholds. Features are the presence of word pieces; a strong L1 leaves the telling ones.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from ._shared import batches, bounded_batches, held_out, text_bytes
 from .sparse_text import BITS, Ftrl, labelled_sample, ngrams
 
-SAMPLE = 5000  #: labelled rows to fit on, at most
-EPOCHS = 4
+SAMPLE = 6000  #: labelled rows to fit on, at most
+EPOCHS = 6
+TOXIC = 0.3  #: P(grade > 0) from which a document is predicted toxic
 GRADES = 3
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32()), ("predicted", pa.int32())])
 
 
 def features(text: bytes) -> np.ndarray:
-    return np.unique(ngrams(text)[0])
+    at, n = ngrams(text)
+    return np.unique(at[:n])
 
 
 def above(score: float, thresholds: np.ndarray) -> np.ndarray:
@@ -33,7 +35,7 @@ def above(score: float, thresholds: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(rows: list[np.ndarray], grades: list[int], top: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and `top` ascending thresholds, for grades 0..top."""
-    model = Ftrl(alpha=0.1, l1=0.6)
+    model = Ftrl(alpha=1.0, l1=8.0)
     share = np.array([np.mean([g > k for g in grades] or [0]) for k in range(top)]).clip(0.001, 0.999)
     theta = np.log((1 - share) / share)
     seen = np.ones(top)
@@ -82,7 +84,7 @@ def _scorer(model):
         for b in it:
             p = np.array([above(w[features(t)].sum(), theta) for t in b.column("t").to_pylist()]).reshape(-1, len(theta))
             each = np.hstack([np.ones((len(p), 1)), p]) - np.hstack([p, np.zeros((len(p), 1))])
-            yield batches({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "severity": p.sum(axis=1), "p_toxic": p[:, 0], "grade": each.argmax(axis=1).astype(np.int32), "predicted": (p[:, 0] >= 0.5).astype(np.int32)}, _OUT)
+            yield batches({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "severity": p.sum(axis=1), "p_toxic": p[:, 0], "grade": each.argmax(axis=1).astype(np.int32), "predicted": (p[:, 0] >= TOXIC).astype(np.int32)}, _OUT)
 
     return run
 
@@ -90,7 +92,7 @@ def _scorer(model):
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, severity (expected grade, 0..2), p_toxic, grade, predicted.
 
-    predicted is 1 where p_toxic >= 0.5. Null text scores as empty; a null id isn't held out; repeated rows
+    predicted is 1 where p_toxic >= TOXIC. Null text scores as empty; a null id isn't held out; repeated rows
     score alike; other columns of either table are never read. Without labels nothing is toxic; an empty
     table gives no rows.
     """
