@@ -10,6 +10,7 @@ Memory holds the open windows only. A retried task reads the same rows and makes
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -22,6 +23,9 @@ from ._shared import Table, batches, bounded_batches
 
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: The character by which byte-level merges name each byte: itself where that is printable, else from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -35,12 +39,19 @@ class WordTokenizer:
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(file).encode
-        self.core = Table(self._ids, 300_000)
-        self.word = Table(self._word, 300_000)
+        tokenizer = Tokenizer.from_file(file)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.core = Table(self._ids, 600_000)
+        self.word = Table(self._word, 600_000)
 
     def _ids(self, text: bytes) -> bytes:
-        return np.array(self.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        """Letters alone are one piece for the merges, which are then called at once; the rest takes all steps."""
+        if text.isalpha():
+            return np.array([t.id for t in self.merge(text.decode().lower())], "<u4").tobytes()
+        s = text.decode()
+        if s.isalpha() and "Σ" not in s and (s := unicodedata.normalize("NFC", s).lower()).isalpha():
+            return np.array([t.id for t in self.merge("".join(map(_VISIBLE.__getitem__, s.encode())))], "<u4").tobytes()
+        return np.array(self.encode(s, add_special_tokens=False).ids, "<u4").tobytes() if s else b""
 
     def _word(self, word: bytes) -> bytes:
         core = word.rstrip(_PUNCTUATION)
@@ -59,19 +70,18 @@ class SumOfSquares:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.count = np.zeros(capacity, np.int64)
+        self.count = np.zeros(capacity + 1)  # that of full windows stays 0
+        self.closed = np.full(capacity + 1, np.inf)  # at levels without a window
         self.open: dict[int, list[list]] = {}
 
     def level(self, size: int) -> int:
         """The level, 0 for a new window, that keeps the sum of squared counts least; the fullest of equals."""
-        c = self.count
-        # from level h to h + size: -(2 N(h) - 1), and 2 N(h + size) + 1 unless the window is then full
-        gain = 1 - 2 * c[: self.capacity - size + 1] + np.concatenate([2 * c[size:] + 1, [0]])
-        gain[0] = 2 * c[size] + 1 if size < self.capacity else 0
-        usable = c[: self.capacity - size + 1] > 0
-        usable[0] = True
-        gain = np.where(usable, gain, np.iinfo(np.int64).max)
-        return len(gain) - 1 - int(np.argmin(gain[::-1]))
+        n = self.capacity - size
+        # from level h to h + size, N(h) falls and N(h + size) rises, which a full window doesn't
+        gain = self.count[size:] - self.count[: n + 1] + self.closed[: n + 1]
+        gain[n] -= 0.5
+        gain[0] = self.count[size] - 0.5
+        return n - int(np.argmin(gain[::-1]))
 
     def place(self, size: int, item) -> list | None:
         """Put an item of 1..capacity-1; the window if that fills it, else None."""
@@ -79,10 +89,13 @@ class SumOfSquares:
         window = self.open[h].pop() if h else []
         if h:
             self.count[h] -= 1
+            if not self.count[h]:
+                self.closed[h] = np.inf
         window.append(item)
         if h + size == self.capacity:
             return window
         self.count[h + size] += 1
+        self.closed[h + size] = 0
         self.open.setdefault(h + size, []).append(window)
         return None
 
