@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +46,12 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, between long steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(col: str = "doc_id") -> Column:
     """True where crc32 of the id as text is divisible by 5; rows without id are not held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -69,14 +75,16 @@ class Table(dict):
         return value
 
 
-#: Hash of a word's bytes; one table for each Python worker.
-WORD_HASH = Table(xxhash.xxh64_intdigest)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CHUNK = 1 << 18  #: bytes of text that are hashed at a time
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` (what bytes.split() cuts at is just that set)."""
-    words = text.split()
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads all bits over the word (a finaliser of xor-shifts and products)."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
 class Rolling:
@@ -86,12 +94,17 @@ class Rolling:
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 2**64))
         self.power = self.back = np.ones(1, np.uint64)
 
-    def prefix(self, x: np.ndarray) -> np.ndarray:
-        n = len(x)
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least n powers of the base, and of its inverse."""
         if n > len(self.power):
             size = 1 << (n - 1).bit_length()
             self.power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, self.base))])
             self.back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, self.inverse))])
+        return self.power, self.back
+
+    def prefix(self, x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        self.powers(n)
         out = np.zeros(n + 1, np.uint64)
         np.cumsum(x * self.power[:n], out=out[1:])
         return out
@@ -105,11 +118,45 @@ class Rolling:
 ROLL, ROLL2 = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 
 
-def spread(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads all bits over the word (a finaliser of xor-shifts and products)."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+#: A value for each byte; in the second row capital A-Z have those of a-z.
+_BYTE = np.stack([spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))] * 2)
+_BYTE[1, 65:91] = _BYTE[1, 97:123]
+_SPELL = Rolling(0xD6E8FEB86659FD93)
+
+
+def hashed_words(column: pa.Array, lower: bool = False) -> list[np.ndarray]:
+    """For each text of a binary column the 64-bit hashes of its words `[^\\x20\\x09-\\x0D]+`.
+
+    All words of some texts are hashed at once: prefix sums of a polynomial over their bytes give any word
+    by its two ends. `lower`: A-Z count as a-z. Null is no words.
+    """
+    n, kind = len(column), np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    if not n:
+        return []
+    if column.null_count:
+        column = column.fill_null(b"")
+    _, at, raw = column.buffers()
+    ends = np.frombuffer(at, kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    out, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _CHUNK, "right")) - 1)
+        border = ends[i : j + 1] - ends[i]
+        d = data[ends[i] : ends[j]]
+        space = _SPACE[d]
+        edge = np.zeros(len(d) + 1, bool)
+        edge[border] = True
+        before, after = np.concatenate([[True], space[:-1]])[: len(d)] | edge[:-1], np.concatenate([space[1:], [True]])[: len(d)] | edge[1:]
+        first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & after)
+        power, back = _SPELL.powers(len(d))
+        v = _BYTE[int(lower)][d]
+        v *= power[: len(d)]
+        total = np.cumsum(v)
+        h = spread((total[last] - total[first] + v[first]) * back[first]) if len(d) else np.zeros(0, np.uint64)
+        cuts = np.searchsorted(first, border)
+        out += [h[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        i = j
+    return out
 
 
 def slide(a: np.ndarray, width: int, f) -> np.ndarray:

@@ -23,14 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ROLL, WORD_HASH, batches, bounded_batches, cut, longs, spread, text_bytes
+from ._shared import ROLL, batches, bounded_batches, cut, hashed_words, longs, release, spread, text_bytes
 from .components import components
 
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
 SLICES = 32
 BITS = 1024  #: of a class's parity map
 _SEEN = 200_000  #: groups a task remembers so as not to emit their elements twice
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("g", pa.int64()), ("bits", pa.binary())])
 _POST = pa.schema([("tok", pa.int64()), ("g", pa.int64())])
@@ -38,23 +37,24 @@ _SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the n-grams; with fewer words, of the whole sequence; none without words."""
-    words = text.translate(_LOWER).split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    x = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, n)
-    w = min(n, width)
-    h = spread(ROLL.windows(ROLL.prefix(x), w))
-    return np.unique(h) if w == width else spread(h ^ np.uint64(w))
+def _of_words(x: np.ndarray, width: int) -> np.ndarray:
+    if len(x) >= width:
+        h = spread(ROLL.windows(ROLL.prefix(x), width))
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+    return spread(spread(ROLL.windows(ROLL.prefix(x), len(x))) ^ np.uint64(len(x))) if len(x) else x
+
+
+def shingles(column: pa.Array, width: int) -> list[np.ndarray]:
+    """For each text the distinct hashes of its n-grams; with fewer words, of the whole sequence; none without words."""
+    return [_of_words(x, width) for x in hashed_words(column, lower=True)]
 
 
 def _count(width: int):
     def run(it):
         total = np.zeros(CELLS, np.uint8)
         for b in it:
-            h = [shingles(t, width) for t in b.column("t").to_pylist()]
+            h = shingles(b.column("t"), width)
             c = np.bincount((np.concatenate(h) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if h else np.zeros(CELLS, int)
             total = np.minimum(total + c, 255).astype(np.uint8)
         yield batches({"slice": list(range(SLICES)), "counts": [s.tobytes() for s in total.reshape(SLICES, -1)]}, _SLICE)
@@ -116,8 +116,7 @@ def _signer(width: int, percent: int, rare):
         table = np.frombuffer(rare.value, np.uint8)
         for b in it:
             n, node, g, bits = [], [], [], []
-            for t in b.column("t").to_pylist():
-                h = shingles(t, width)
+            for h in shingles(b.column("t"), width):
                 n.append(len(h))
                 node.append(xxhash.xxh128_digest(h.tobytes()))
                 g.append(_prefix(h, table, percent)[1] if len(h) else 0)
@@ -132,8 +131,7 @@ def _poster(width: int, percent: int, rare):
         table, seen = np.frombuffer(rare.value, np.uint8), set()
         for b in it:
             toks, gs = [], []
-            for t in b.column("t").to_pylist():
-                h = shingles(t, width)
+            for h in shingles(b.column("t"), width):
                 if not len(h):
                     continue
                 pre, g = _prefix(h, table, percent)
@@ -167,19 +165,9 @@ def _near(percent: int):
 
 def _verifier(width: int, percent: int):
     def run(it):
-        kept: dict[int, np.ndarray] = {}
-
-        def of(key, text):
-            if key not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[key] = shingles(text, width)
-            return kept[key]
-
         for batch in it:
             ok = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                x, y = of((a, len(ta), xxhash.xxh64_intdigest(ta)), ta), of((b, len(tb), xxhash.xxh64_intdigest(tb)), tb)
+            for x, y in zip(shingles(batch.column("ta"), width), shingles(batch.column("tb"), width), strict=True):
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -209,6 +197,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     crowds = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
     held = held.union(classes.join(crowds, "g").select(F.col("g").alias("tok"), "c", "n"))
     held = cut(spark, held.withColumn("label", F.col("c")), "held")
+    del posts, shared, crowds
+    release(spark)
 
     reps = texts.join(classes.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
@@ -239,6 +229,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
             pairs = x.join(y, near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
         found = verified(pairs.filter(f"label != other and 100 * least(n, m) >= {percent} * greatest(n, m)"))
         found = cut(spark, found, "found")
+        release(spark)
         links = found if links is None else links.union(found)
         labels = components(links)
 

@@ -8,7 +8,8 @@ parts, so nothing is lost, and about a tenth of the positions is shuffled.
 
 Counting is a groupBy on the window's hash with partial sums, so a passage held by a third of all
 documents costs one row for each task. What comes back to a document is the list of its own repeated
-hashes, never longer than the document. The last level counts 128-bit hashes.
+hashes, never longer than the document. The last level counts 128-bit hashes. Of documents with the same
+text, all of whose windows are thus repeated, one stands for all from the second level on.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ROLL, ROLL2, batches, bounded_batches, longs, slide, text_bytes, word_hashes
+from ._shared import ROLL, ROLL2, batches, bounded_batches, hashed_words, longs, slide, text_bytes
 
 _COUNTED = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("c", pa.int64())])
 
@@ -69,11 +70,8 @@ def _counter(level: int, lengths: list[int], window: int):
         for b in it:
             col = {n: b.column(n) for n in b.schema.names}
             out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-            for i, text in enumerate(col["t"].to_pylist()):
-                if level and not all(col[f"r{j}"][i].is_valid for j in range(level)):
-                    continue
-                x = word_hashes(text)
-                if len(x) < window:
+            for i, x in enumerate(hashed_words(b.column("t"))):
+                if len(x) < window or level and not (all(col[f"r{j}"][i].is_valid for j in range(level)) and col["first"][i].as_py() is not False):
                     continue
                 if not level:
                     h, take = _anchors(x, lengths[0], window)
@@ -83,7 +81,9 @@ def _counter(level: int, lengths: list[int], window: int):
                 at = np.flatnonzero(take)
                 if not len(at):
                     continue
-                h, at, n = np.unique(h[at], return_index=True, return_counts=True)[0:3] if not level else _unique(h, at)
+                h, at, n = _unique(h, at)
+                if level and col["first"][i].as_py():
+                    n = n + 1
                 h2 = ROLL2.windows(ROLL2.prefix(x), lengths[level])[at] if level == len(lengths) - 1 else np.zeros(len(h), np.uint64)
                 out.append((col["k"][i].as_py(), h, h2, n))
             if out:
@@ -105,12 +105,13 @@ def _finisher(window: int, columns: list[str], schema: pa.Schema, lengths: list[
         for b in it:
             col = {n: b.column(n) for n in b.schema.names}
             words_n, removed_n, digest, spans = [], [], [], []
-            for i, text in enumerate(col["t"].to_pylist()):
+            for i, (text, x) in enumerate(zip(col["t"].to_pylist(), hashed_words(b.column("t")), strict=True)):
                 words = text.split()
                 gone = np.zeros(0, np.int64)
                 found: list[list[int]] = []
-                if col[f"r{last}"][i].is_valid:
-                    x = word_hashes(text)
+                if col["first"][i].is_valid and len(words) >= window:
+                    found, gone = [[0, len(words)]], words
+                elif col[f"r{last}"][i].is_valid:
                     hit = np.isin(ROLL.windows(ROLL.prefix(x), window), _ints(col[f"r{last}"][i]))
                     edge = np.zeros(window - 1, np.uint8)
                     cover = slide(np.concatenate([edge, hit.astype(np.uint8), edge]), window, np.maximum).astype(np.int8)
@@ -145,15 +146,18 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     bounded_batches(spark)
     lengths = levels(window)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).withColumn("k", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "t"))
-    have = keyed.select("k", "t")
-    lists = None
+    # copies of a text: the one with the smallest key stands for all; rows that are equal in id, too, share a key
+    same = keyed.select("k", F.sha1("t").alias("s")).groupBy("s", "k").agg(F.count("*").alias("n"))
+    crowd = same.groupBy("s").agg(F.sum("n").alias("n"), F.min("k").alias("rep")).filter("n > 1")
+    copies = same.select("s", "k").join(crowd, "s").select("k", (F.col("k") == F.col("rep")).alias("first"))
+    have, lists = keyed.select("k", "t"), None
     for level in range(len(lengths)):
         counted = have.mapInArrow(_counter(level, lengths, window), "k long, h long, h2 long, c long")
         key = ["h", "h2"] if level == len(lengths) - 1 else ["h"]
         twice = counted.groupBy(*key).agg(F.sum("c").alias("n")).filter("n >= 2").drop("n")
         own = counted.select("k", *key).join(twice, key).groupBy("k").agg(F.collect_set("h").alias(f"r{level}"))
-        lists = own if lists is None else lists.join(own, "k")
-        have = keyed.join(lists, "k", "left").select("doc_id", "k", "t", *(f"r{j}" for j in range(level + 1)))
+        lists = own if lists is None else lists.join(own, "k", "left")
+        have = keyed.join(lists, "k", "left").join(copies, "k", "left").select("doc_id", "k", "t", "first", *(f"r{j}" for j in range(level + 1)))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed_spans"]
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed_spans", pa.list_(pa.list_(pa.int64())))])
     return have.mapInArrow(_finisher(window, columns, schema, lengths), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<long>>")
