@@ -130,9 +130,9 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     from pyspark.sql import Window as W
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
-    # of each language the documents of smallest hash: bounded in every task first, by a sum that keeps so many
-    least = ready.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("b")).agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("doc_id", F.lit(3)), "doc_id"))), 1, SAMPLE_DOCS).alias("a"))
-    ids = least.select("lang", F.explode("a").alias("a")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("a"))).filter(F.col("r") <= SAMPLE_DOCS).select("a.doc_id", "lang")
+    # of each language the documents of smallest hash; every task keeps no more than it may add
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    ids = ready.select("doc_id", "lang", F.row_number().over(order).alias("r")).filter(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
     texts = ready.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     counts = texts.mapInArrow(_words, "lang string, w string").groupBy("lang", "w").count()
     best = counts.withColumn("r", F.sum(F.length("w")).over(W.partitionBy("lang").orderBy(F.desc("count"), "w"))).filter(F.col("r") <= SAMPLE_LETTERS)
