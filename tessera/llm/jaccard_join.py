@@ -5,7 +5,7 @@ same for all; here rare ones come first, by a count of all n-grams in a table of
 
   1. documents with the same set become one class, and classes with the same size and prefix one group;
   2. groups are joined on prefix elements that two or more groups hold (the counting is a partial sum);
-  3. pairs are filtered by size and by the parity of their elements' hashes in 1024 bits, whose distance
+  3. pairs are filtered by size, by the place of the shared element in either order, and by the parity of their elements' hashes in 1024 bits, whose distance
      never exceeds that of the sets, then expanded to classes and verified on the whole texts.
 
 An element that many groups hold is not expanded into all pairs. In rounds, each member is compared with a
@@ -32,7 +32,7 @@ BITS = 1024  #: of a class's parity map
 _SEEN = 200_000  #: groups a task remembers so as not to emit their elements twice
 
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("g", pa.int64()), ("bits", pa.binary())])
-_POST = pa.schema([("tok", pa.int64()), ("g", pa.int64())])
+_POST = pa.schema([("tok", pa.int64()), ("g", pa.int64()), ("i", pa.int32())])
 _SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -142,7 +142,7 @@ def _poster(width: int, percent: int, rare):
                 toks.append(pre)
                 gs.append(np.full(len(pre), g, np.uint64))
             if toks:
-                yield batches({"tok": longs(np.concatenate(toks)), "g": longs(np.concatenate(gs))}, _POST)
+                yield batches({"tok": longs(np.concatenate(toks)), "g": longs(np.concatenate(gs)), "i": np.concatenate([np.arange(len(x), dtype=np.int32) for x in toks])}, _POST)
 
     return run
 
@@ -191,43 +191,49 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     sigs = cut(spark, texts.mapInArrow(_signer(width, percent, rare), "doc_id long, n long, node binary, g long, bits binary"), "sigs")
     classes = cut(spark, sigs.filter("n > 0").groupBy("node", "n", "g").agg(F.min("doc_id").alias("c"), F.first("bits").alias("bits")).filter("c is not null"), "classes")
 
-    posts = texts.mapInArrow(_poster(width, percent, rare), "tok long, g long")
+    posts = texts.mapInArrow(_poster(width, percent, rare), "tok long, g long, i int")
     shared = posts.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("tok")
-    held = posts.join(shared, "tok").join(classes.select("g", "c", "n"), "g").select("tok", "c", "n")
+    held = posts.join(shared, "tok").join(classes.select("g", "c", "n"), "g").select("tok", "c", "n", "i")
     crowds = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
-    held = held.union(classes.join(crowds, "g").select(F.col("g").alias("tok"), "c", "n"))
+    held = held.union(classes.join(crowds, "g").select(F.col("g").alias("tok"), "c", "n", F.lit(0).alias("i")))
     held = cut(spark, held.withColumn("label", F.col("c")), "held")
     del posts, shared, crowds
     release(spark)
 
     reps = texts.join(classes.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) -> links(a, b)."""
+    def verified(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """pairs(a, b) -> links(a, b), and the pairs that were compared; those tried before aren't again."""
         pairs = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for x in "ab":
             pairs = pairs.join(classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")), x)
         pairs = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long").distinct()
-        pairs = cut(spark, pairs, "pairs")
+        pairs = cut(spark, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.mapInArrow(_verifier(width, percent), "a long, b long")
+        return both.mapInArrow(_verifier(width, percent), "a long, b long"), pairs
 
-    links, labels = None, None
+    # of two sets with so many elements in common, what stands before their first common one can be but few
+    least = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
+    possible = f"ia <= na - {least} and ib <= nb - {least} and least(na - ia, nb - ib) + least(ia, ib) >= {least}"
+    links, labels, tried = None, None, None
     for i, hubs in enumerate((*rounds, 0)):
         if labels is not None:
-            held = held.drop("label").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", F.coalesce("label", "c").alias("label"))
+            held = held.drop("label").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", "i", F.coalesce("label", "c").alias("label"))
             split = held.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok")
             held = cut(spark, held.join(split, "tok"), "held")
             if held.limit(1).count() == 0:
                 break
+        x = held.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"))
         if hubs:
-            chosen = held.groupBy("tok").agg(*(F.min_by(F.struct("c", "n", "label"), F.xxhash64("c", F.lit(1000 * i + s))).alias(f"h{s}") for s in range(hubs)))
-            pairs = held.join(chosen, "tok").select("c", "n", "label", F.explode(F.array_distinct(F.array(*(f"h{s}" for s in range(hubs))))).alias("h")).select(F.col("c").alias("a"), F.col("h.c").alias("b"), "n", F.col("h.n").alias("m"), "label", F.col("h.label").alias("other"))
+            chosen = held.groupBy("tok").agg(*(F.min_by(F.struct("c", "n", "i", "label"), F.xxhash64("c", F.lit(1000 * i + s))).alias(f"h{s}") for s in range(hubs)))
+            y = chosen.select("tok", F.explode(F.array_distinct(F.array(*(f"h{s}" for s in range(hubs))))).alias("h")).select("tok", F.col("h.c").alias("b"), F.col("h.n").alias("nb"), F.col("h.i").alias("ib"), F.col("h.label").alias("lb"))
+            order = F.lit(True)
         else:
-            x, y = held.alias("x"), held.alias("y")
-            near = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            pairs = x.join(y, near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-        found = verified(pairs.filter(f"label != other and 100 * least(n, m) >= {percent} * greatest(n, m)"))
+            y = held.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"))
+            order = F.col("a") < F.col("b")
+        pairs = x.join(y, "tok").filter(order & (F.col("la") != F.col("lb"))).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {possible}").select("a", "b")
+        found, pairs = verified(pairs, tried)
+        tried = pairs if tried is None else tried.union(pairs)
         found = cut(spark, found, "found")
         release(spark)
         links = found if links is None else links.union(found)
