@@ -175,14 +175,15 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: tuple[int, ...] = (2, 6), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: tuple[tuple[int, int], ...] = ((2, 0), (8, 25), (16, 40)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when 100 * common >= percent * union. Null and empty texts have no n-grams and link
     with nothing: their component is themselves. Repeated rows are copies of one another. Rows of one id
     with different texts share that id's component. A null id stays null, and its component is that of the
     documents with its text that have ids, or null. Other columns are ignored; an empty table gives no rows.
-    `rounds`: how many holders of an element each member is compared with, round by round.
+    `rounds`: how many holders of an element each member is compared with, round by round, and how finely
+    the holders are told apart by size for that (bands of the sizes' logarithm; 0: not).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -192,7 +193,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     classes = cut(spark, sigs.filter("n > 0").groupBy("node", "n", "g").agg(F.min("doc_id").alias("c"), F.first("bits").alias("bits")).filter("c is not null"), "classes")
 
     posts = texts.mapInArrow(_poster(width, percent, rare), "tok long, g long, i int")
-    shared = posts.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("tok")
+    # copies that several tasks emit count, too; that keeps a few more elements, which no round pairs
+    shared = posts.groupBy("tok").count().filter("count > 1").select("tok")
     held = posts.join(shared, "tok").join(classes.select("g", "c", "n"), "g").select("tok", "c", "n", "i")
     crowds = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
     held = held.union(classes.join(crowds, "g").select(F.col("g").alias("tok"), "c", "n", F.lit(0).alias("i")))
@@ -216,7 +218,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     least = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
     possible = f"ia <= na - {least} and ib <= nb - {least} and least(na - ia, nb - ib) + least(ia, ib) >= {least}"
     links, labels, tried = None, None, None
-    for i, hubs in enumerate((*rounds, 0)):
+    for i, (hubs, bands) in enumerate((*rounds, (0, 0))):
         if labels is not None:
             held = held.drop("label").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", "i", F.coalesce("label", "c").alias("label"))
             split = held.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok")
@@ -225,13 +227,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
                 break
         x = held.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"))
         if hubs:
-            chosen = held.groupBy("tok").agg(*(F.min_by(F.struct("c", "n", "i", "label"), F.xxhash64("c", F.lit(1000 * i + s))).alias(f"h{s}") for s in range(hubs)))
-            y = chosen.select("tok", F.explode(F.array_distinct(F.array(*(f"h{s}" for s in range(hubs))))).alias("h")).select("tok", F.col("h.c").alias("b"), F.col("h.n").alias("nb"), F.col("h.i").alias("ib"), F.col("h.label").alias("lb"))
-            order = F.lit(True)
+            # one row for each member and element, with the hubs that may be near; then a member's hubs once each
+            band = F.floor(F.log("n") * bands)
+            chosen = held.groupBy("tok", band.alias("band")).agg(F.array(*(F.min_by(F.struct("c", "n", "i", "label"), F.xxhash64("c", F.lit(1000 * i + s))) for s in range(hubs))).alias("hubs"))
+
+            def near(h):
+                na, nb = F.col("na"), h["n"]
+                least = F.ceil(percent * (na + nb) / (100 + percent))
+                return (h["label"] != F.col("la")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least) & (h["i"] <= nb - least)
+
+            some = x.withColumn("band", F.floor(F.log("na") * bands)).join(chosen, ["tok", "band"]).select("a", F.transform(F.filter("hubs", near), lambda h: F.struct(F.xxhash64(h["c"]).alias("x"), h["c"].alias("c"))).alias("b")).filter("size(b) > 0")
+            few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("b")))), 1, 2 * hubs)  # the last step compares the others
+            pairs = some.groupBy("a").agg(few.alias("b")).select("a", F.explode("b.c").alias("b"))
         else:
             y = held.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"))
-            order = F.col("a") < F.col("b")
-        pairs = x.join(y, "tok").filter(order & (F.col("la") != F.col("lb"))).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {possible}").select("a", "b")
+            pairs = x.join(y, "tok").filter(f"a < b and la != lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {possible}").select("a", "b")
         found, pairs = verified(pairs, tried)
         tried = pairs if tried is None else tried.union(pairs)
         found = cut(spark, found, "found")
