@@ -17,14 +17,22 @@ BATCH, RETRIES = 24, 3
 def hashed_counts(text: Column, dims: int = 64) -> Column:
     """Counts of a text's distinct tokens by bucket of their md5: `dims` integers."""
     buckets = F.transform(tokens(text, stop=False), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)))
+    return _bind(buckets, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(found, lambda b: b == d))))
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """hashed_counts of length 1; zeros for a text without tokens."""
-    counts = hashed_counts(text, dims)
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+        return _bind(norm, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    return _bind(hashed_counts(text, dims), unit)
 
 
 def batch_ranges(total: int, size: int) -> list[tuple[int, int]]:
