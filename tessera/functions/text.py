@@ -151,10 +151,32 @@ def in_scope(path: Column, roots: list[str]) -> Column:
 
 
 def truncate_lines(text: Column, limit: int) -> Column:
-    """Whole lines of at most `limit` characters, and how many were left out; a longer first line is cut."""
-    all_lines = lines(text)
-    sums = F.transform(all_lines, lambda x, i: F.aggregate(F.slice(all_lines, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y)) + i)
-    keep = F.size(F.filter(sums, lambda n: n <= limit))
-    left = F.size(all_lines) - keep
-    cut = F.concat(F.array_join(F.slice(all_lines, F.lit(1), keep), "\n"), F.lit("\n... [TRUNCATED: "), left.cast("string"), F.lit(" lines omitted]"))
-    return F.when(F.length(text) <= limit, text).when(keep == 0, F.concat(F.left(text, F.lit(limit)), F.lit("\n... [TRUNCATED]"))).otherwise(cut)
+    """Whole lines of at most `limit` characters, and how many were left out; a longer first line is cut.
+
+    One pass over the lines. Blank lines before the first that isn't take no room and are dropped.
+    """
+
+    def step(acc: Column, line: Column) -> Column:
+        gap = F.when(acc["out"] == "", "").otherwise("\n")
+        fits = ~acc["full"] & (F.length(acc["out"]) + F.length(gap) + F.length(line) <= limit)
+        return F.struct(F.when(fits, F.concat(acc["out"], gap, line)).otherwise(acc["out"]).alias("out"), (acc["n"] + fits.cast("int")).alias("n"), (~fits).alias("full"))
+
+    def finish(acc: Column) -> Column:
+        left = F.size(lines(text)) - acc["n"]
+        note = F.when(left > 0, F.concat(F.lit("\n... [TRUNCATED: "), left.cast("string"), F.lit(" lines omitted]"))).otherwise("\n... [TRUNCATED]")
+        return F.concat(F.when(acc["out"] == "", F.left(text, F.lit(limit))).otherwise(acc["out"]), note)
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+    return F.when(F.length(text) <= limit, text).otherwise(F.aggregate(lines(text), start, step, finish))
+
+
+def detect_symbol(content: Column, path: Column) -> Column:
+    """A symbol named by one of the first 20 lines, or else the file's name up to its first dot; of two bytes at least."""
+    named = F.transform(F.slice(lines(content), 1, 20), lambda x: F.regexp_extract(trim_space(x), r"^(?:fn|function|class|struct|enum|trait|impl) ([\p{IsAlphabetic}\p{N}_]*)", 1))
+    first = F.try_element_at(F.filter(named, lambda x: F.octet_length(x) >= 2), F.lit(1))
+    stem = F.substring_index(F.substring_index(path, "/", -1), ".", 1)
+    return F.coalesce(first, F.when(F.octet_length(stem) >= 2, stem))
+
+
+def confidence(score: Column) -> Column:
+    return F.when(score >= 0.75, "high").when(score >= 0.45, "medium").otherwise("low")

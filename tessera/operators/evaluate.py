@@ -41,8 +41,13 @@ def deltas(now: DataFrame, before: DataFrame) -> DataFrame:
     return d.select("metric", "current", "previous", "delta", trend.alias("trend"), F.format_string("%+.3f", "delta").alias("text"))
 
 
-def gates(now: DataFrame, before: DataFrame | None, bounds: dict[str, float], tolerance: float = 0.0) -> DataFrame:
-    """(metric, rule, value, bound) of violated gates: minimums or maximums, and regressions beyond the tolerance."""
+def gates(now: DataFrame, before: DataFrame | None, bounds: dict[str, float], tolerance: float = 0.0, non_regression: bool = False) -> DataFrame:
+    """(metric, rule, value, bound) of violated gates: minimums or maximums, and regressions beyond the tolerance.
+
+    `non_regression` demands a previous report: without one, or with one of another top_k, that itself is the
+    violation (rules `no_previous` and `top_k_differs`). A negative tolerance counts as 0.
+    """
+    tolerance = max(tolerance, 0.0)
     zero = before if before is not None else now
     d = deltas(now, zero)
     limit = F.create_map(*(x for m, b in bounds.items() for x in (F.lit(m), F.lit(float(b))))) if bounds else F.create_map().cast("map<string,double>")
@@ -50,6 +55,12 @@ def gates(now: DataFrame, before: DataFrame | None, bounds: dict[str, float], to
     bound, better = F.try_element_at(limit, F.col("metric")), F.element_at(up, F.col("metric"))
     fixed = d.withColumn("bound", bound).filter(F.when(better, F.col("current") < F.col("bound")).otherwise(F.col("current") > F.col("bound"))).select("metric", F.when(better, "minimum").otherwise("maximum").alias("rule"), F.col("current").alias("value"), "bound")
     if before is None:
-        return fixed
+        none = now.sparkSession.range(1).select(F.lit("all").alias("metric"), F.lit("no_previous").alias("rule"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("bound"))
+        return fixed.unionByName(none) if non_regression else fixed
     worse = d.filter(F.when(better, F.col("delta") < -tolerance).otherwise(F.col("delta") > tolerance)).select("metric", F.lit("regression").alias("rule"), F.col("current").alias("value"), F.col("previous").alias("bound"))
-    return fixed.unionByName(worse)
+    if "top_k" not in now.columns or "top_k" not in before.columns:
+        return fixed.unionByName(worse)
+    both = now.select(F.col("top_k").cast("double").alias("value")).crossJoin(before.select(F.col("top_k").cast("double").alias("bound")))  # one row each
+    differ = both.filter("value != bound").select(F.lit("all").alias("metric"), F.lit("top_k_differs").alias("rule"), "value", "bound")
+    same = worse.join(differ.select(F.lit(1).alias("__x")).limit(1), F.lit(True), "left_anti")
+    return fixed.unionByName(same).unionByName(differ) if non_regression else fixed.unionByName(same)

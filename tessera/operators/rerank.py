@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WEIGHTS, ascii_lower, terms, tokens
+from ..functions.text import WEIGHTS, ascii_lower, detect_symbol, terms, tokens, trim_space
 
 
 def _any(term: Column, text: Column) -> Column:
@@ -57,22 +57,28 @@ def passes_gate(distance: Column, gate: float, lexical: Column, symbol: Column,
     return distance.isNull() | F.isnan(distance) | (F.abs(distance) == float("inf")) | (distance <= gate) | (lexical >= 0.55) | (symbol >= 0.55) | (metadata >= 0.70)
 
 
-def rerank(candidates: DataFrame, query: str, intent: str, profile: str = "precision", k: int = 3) -> DataFrame:
-    """candidates: chunk columns, distance and idx (0-based order). The k best with score and matched_terms, in rank order."""
+def rerank(candidates: DataFrame, query: str, intent: str, profile: str = "precision", k: int = 3, full: bool = False) -> DataFrame:
+    """candidates: chunk columns, distance and idx (0-based order). The k best with score and matched_terms, in rank order.
+
+    A candidate without a symbol is scored by one that its text or path names. `full`: all columns, with the symbol
+    that was used as `shown_symbol` and the raw scores, for rendering.
+    """
     v, lx, sy, md, ph, gate = WEIGHTS[intent, profile]
     q = F.lit(query)
     t = terms(q)
     row = {c: F.col(c) for c in ("symbol_name", "language", "signature_fragment", "visibility", "arity", "doc_comment_proximity")}
     everything, total = W.partitionBy(), F.count("*").over(W.partitionBy())
     seen = candidates.withColumn("__n", total).withColumn("__d", F.row_number().over(W.partitionBy("file_path", "start_line", "end_line").orderBy("idx"))).filter("__d = 1")
+    seen = seen.withColumn("shown_symbol", F.coalesce("symbol_name", detect_symbol(F.col("content"), F.col("file_path"))))
     scored = seen.withColumn("matched_terms", lexical_hits(t, F.col("file_path"), F.col("content"))).withColumns({
-        "lexical": F.round(ratio(F.col("matched_terms"), t), 6), "symbol": F.round(ratio(symbol_hits(t, row["symbol_name"]), t), 6), "metadata": F.round(metadata_score(t, q, row), 6),
-        "vector": vector_score(F.col("distance"), F.col("idx"), F.col("__n")), "phrase": F.when(F.contains(ascii_lower(F.col("content")), ascii_lower(q)), ph).otherwise(0.0), "specific": F.coalesce(specificity(t, row["symbol_name"]), F.lit(0.0)),
+        "lexical": F.round(ratio(F.col("matched_terms"), t), 6), "symbol": F.round(ratio(symbol_hits(t, F.col("shown_symbol")), t), 6), "metadata": F.round(metadata_score(t, q, row), 6),
+        "vector": vector_score(F.col("distance"), F.col("idx"), F.col("__n")), "phrase": F.when((trim_space(q) != "") & F.contains(ascii_lower(F.col("content")), ascii_lower(q)), ph).otherwise(0.0), "specific": F.coalesce(specificity(t, F.col("shown_symbol")), F.lit(0.0)),
     })
     scored = scored.filter(passes_gate(F.col("distance"), gate, F.col("lexical"), F.col("symbol"), F.col("metadata")))
     scored = scored.withColumn("score", F.round(v * F.col("vector") + lx * F.col("lexical") + sy * F.col("symbol") + md * F.col("metadata") + F.col("phrase") + F.col("specific"), 6))
     top = scored.withColumn("__m", F.max("score").over(everything)).withColumn("__ok", F.col("score") >= F.greatest(F.round(F.col("__m") - 0.35, 6), F.lit(0.20))).withColumn("__c", F.count_if("__ok").over(everything)).filter("__ok or __c = 0")
-    return diverse(top, [F.desc("score"), F.desc("matched_terms"), F.asc("file_path"), F.asc("start_line"), F.asc("end_line")], k).select("file_path", "start_line", "end_line", "score", "matched_terms", "lexical", "symbol", "metadata")
+    best = diverse(top, [F.desc("score"), F.desc("matched_terms"), F.asc("file_path"), F.asc("start_line"), F.asc("end_line")], k)
+    return best.drop("__n", "__d", "__m", "__ok", "__c") if full else best.select("file_path", "start_line", "end_line", "score", "matched_terms", "lexical", "symbol", "metadata")
 
 
 def diverse(ranked: DataFrame, order: list[Column], k: int, by: str = "file_path") -> DataFrame:

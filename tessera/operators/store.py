@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append(rows: DataFrame, path: str, generation: int) -> None:
-    """Add replacement rows of a generation; a file's rows of it supersede all before. Empty input writes nothing."""
+    """Write the replacement rows of a generation; a file's rows of it supersede all before. Empty input writes nothing.
+
+    Each generation is a folder of its own, so writing it again replaces it and adds nothing twice.
+    """
     ready = rows if "is_tombstone" in rows.columns else rows.withColumn("is_tombstone", F.lit(False))
     if ready.limit(1).count():
-        ready.withColumn("gen", F.lit(generation).cast("long")).write.mode("append").parquet(path)
+        ready.drop("gen").write.mode("overwrite").parquet(f"{path.rstrip('/')}/gen={generation}")
+
+
+def open_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The log with these columns, is_tombstone and gen; empty where nothing has been written yet."""
+    whole = T.StructType([*(T.StructField(f.name, f.dataType) for f in schema), T.StructField("is_tombstone", T.BooleanType()), T.StructField("gen", T.LongType())])
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def file_signatures(chunks: DataFrame) -> DataFrame:
+    """(file_path, signature): a hash of each file's spans and their contents' hashes, in whatever order they come."""
+    spans = F.array_sort(F.collect_set(F.struct("start_line", "end_line", "content_hash")))
+    return chunks.groupBy("file_path").agg(F.sha2(F.to_json(spans), 256).alias("signature"))
 
 
 def tombstones(paths: DataFrame) -> DataFrame:

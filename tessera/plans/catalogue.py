@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import text as T
-from ..operators import chunk, embed, evaluate, knn, rerank, store
+from ..operators import chunk, embed, evaluate, knn, rerank, store, symbols
 from ..sources.files import is_ignored
 from ..streaming.changes import debounce
 
@@ -152,7 +153,67 @@ def rerank_topk(spark, sf_dir):
     return rerank.rerank(near, query, "exploratory", "recall", 4)
 
 
-QUERIES = {f.__name__: f for f in (rerank_topk, knn_l2_top10, knn_batch_top5, knn_scope_rescue, line_chunks_fixed, line_chunks_adaptive, content_hash_copies, term_variants, intent_and_gate, lexical_score, diverse_topk, path_ignore, replace_current_view, changed_files, debounce_events, retrieval_metrics, quality_gates, metric_delta, embedding_batches, hashed_counts, signature_metadata, preview_snippets)}
+def chunk_dedupe(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("text").alias("content"))
+    return store.first_spans(chunk.line_chunks(docs)).groupBy("file_path").agg(F.count("*").alias("chunks"), F.max("end_line").alias("last_line"))
+
+
+def tokenize_terms(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.tokens(F.concat(F.lit("HTTPServer2 getUserID x9 the "), F.col("text"))), " ").alias("tokens"))
+
+
+def embedding_query(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", T.embedding_query(F.concat(F.lit("  find db init "), F.col("item_id").cast("string"))).alias("query"))
+
+
+def _named(spark, sf_dir):
+    """Documents as candidates with made-up symbols."""
+    name = F.concat("source", F.when(F.col("doc_id") % 3 == 0, "AuthToken").when(F.col("doc_id") % 3 == 1, "_session").otherwise(""))
+    sig = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("pub fn "), name, F.lit("(a: u8)")))
+    return _t(spark, sf_dir, "documents").select("doc_id", name.alias("symbol_name"), F.lit("rust").alias("language"), sig.alias("signature_fragment"), T.visibility(sig).alias("visibility"), T.arity(sig).alias("arity"), F.when(F.col("doc_id") % 5 == 0, 1).alias("doc_comment_proximity"))
+
+
+def symbol_score(spark, sf_dir):
+    t = T.terms(F.lit("auth src nothing"))
+    hits = rerank.symbol_hits(t, F.col("symbol_name"))
+    return _named(spark, sf_dir).select("doc_id", hits.alias("matched"), F.round(rerank.ratio(hits, t), 6).alias("symbol"))
+
+
+def metadata_score(spark, sf_dir):
+    q = F.lit("public rust docs for sessions")
+    rows = _named(spark, sf_dir)
+    return rows.select("doc_id", F.round(rerank.metadata_score(T.terms(q), q, {c: F.col(c) for c in rows.columns}), 6).alias("metadata"))
+
+
+def specificity_boost(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", rerank.specificity(T.terms(F.lit("session src1AuthToken")), F.col("symbol_name")).alias("boost"))
+
+
+def path_scope(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    kinds = [F.concat(F.lit("/w/a/x"), n), F.concat(F.lit("/w/ab/x"), n), F.concat(F.lit("/w/a/../b/x"), n), F.concat(F.lit("a/./x"), n), F.concat(F.lit("../x"), n)]
+    path = F.element_at(F.array(*kinds), (F.col("page_id") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.in_scope(path, ["/w/a", "/v"]).alias("inside"))
+
+
+def symbol_chunks(spark, sf_dir):
+    code = F.concat(F.lit("import os\n\n# reads\ndef load_"), F.col("item_id").cast("string"), F.lit("(path, mode):\n    with open(path, mode) as handle:\n        return handle.read().strip()\n"))
+    files = _t(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".py")).alias("file_path"), code.alias("content"), F.lit("python").alias("language"))
+    return symbols.symbol_chunks(files).select("file_path", "symbol_name", "symbol_kind", "start_line", "end_line", "arity", "visibility")
+
+
+def result_text(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", _path().alias("file_path"), F.col("text").alias("content"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), none.alias("symbol_kind"))
+    rows = rows.withColumn("shown_symbol", T.detect_symbol(F.col("content"), F.col("file_path")))
+    return rows.select("doc_id", render.result_text().alias("shown"))
+
+
+def confidence_labels(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy(T.confidence(F.col("value") % 100 / 100).alias("label")).agg(F.count("*").alias("events"))
+
+
+QUERIES = {f.__name__: f for f in (rerank_topk, knn_l2_top10, knn_batch_top5, knn_scope_rescue, line_chunks_fixed, line_chunks_adaptive, content_hash_copies, term_variants, intent_and_gate, lexical_score, diverse_topk, path_ignore, replace_current_view, changed_files, debounce_events, retrieval_metrics, quality_gates, metric_delta, embedding_batches, hashed_counts, signature_metadata, preview_snippets, chunk_dedupe, tokenize_terms, embedding_query, symbol_score, metadata_score, specificity_boost, path_scope, symbol_chunks, result_text, confidence_labels)}
 
 _BATCH = f"""v AS (SELECT q.vec_id AS query_id, q.label AS ql, c.vec_id, c.label, {_DIST.format('c.embedding', 'q.embedding')} AS d
     FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
@@ -182,6 +243,24 @@ def _chunks(adaptive: bool) -> str:
       SELECT doc_id, start_line, end_line, substr(sha256(content), 1, 16) AS content_hash FROM c WHERE strlen(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 50"""
 
 
+#: A text's tokens in order, or distinct ones in any, without those that `keep` rules out; borders within words are marked by chr(1).
+def _tokens(text: str, keep: str, ordered: bool = True) -> str:
+    marked = "w"
+    for a, b in (("[a-z]", "[A-Z]"), ("[A-Za-z]", "[0-9]"), ("[0-9]", "[A-Za-z]"), ("[A-Z]", "[A-Z][a-z]")):
+        marked = f"regexp_replace({marked}, '({a})({b})', '\\1' || chr(1) || '\\2', 'g')"
+    each = f"flatten(list_transform(regexp_split_to_array({text}, '[^\\pL\\pM\\pN_]+'), lambda w: list_concat([{_LOWER.format('w')}], string_split({_LOWER.format(marked)}, chr(1)))))"
+    kept = f"list_filter({each}, lambda y: strlen(y) >= 2 AND {keep.format('y')})"
+    return kept if ordered else f"list_distinct({kept})"
+
+
+_STOP = "{0} NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
+_SNIPPET = f"""m AS (SELECT *, l[coalesce(list_position(list_transform(l, lambda x: x <> ''), true), len(l) + 1) :] AS f FROM (SELECT *, {_LINES.format('text')} AS l FROM documents)),
+    k AS (SELECT *, len(list_filter(range(1, len(f) + 1), lambda i: list_sum(list_transform(f[1 : i], lambda x: length(x))) + i - 1 <= 260)) AS n FROM m),
+    s AS (SELECT *, CASE WHEN length(text) <= 260 THEN text ELSE CASE WHEN n = 0 THEN left(text, 260) ELSE array_to_string(f[1 : n], chr(10)) END || CASE WHEN len(f) > n
+          THEN chr(10) || '... [TRUNCATED: ' || (len(f) - n) || ' lines omitted]' ELSE chr(10) || '... [TRUNCATED]' END END AS preview FROM k)"""
+_NAMED = """n AS (SELECT doc_id, source || CASE doc_id % 3 WHEN 0 THEN 'AuthToken' WHEN 1 THEN '_session' ELSE '' END AS name FROM documents)"""
+
+
 ORACLE_SQL = {
     "knn_l2_top10": f"SELECT vec_id, label, round(d, 9) AS distance FROM (SELECT e.vec_id, e.label, {_DIST.format('e.embedding', 'q.embedding')} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY d, vec_id LIMIT 10",
     "knn_batch_top5": f"WITH {_BATCH} SELECT query_id, rank, vec_id, round(d, 9) AS distance FROM r WHERE rank <= 5",
@@ -205,4 +284,32 @@ ORACLE_SQL = {
     "embedding_batches": "SELECT source, batch, count(*) AS size FROM (SELECT source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 24)::BIGINT AS batch FROM documents) GROUP BY ALL",
     "hashed_counts": "SELECT item_id, array_to_string(list_transform(range(8), lambda b: len(list_filter(list_filter(['alpha', 'beta', item_id::VARCHAR], lambda t: length(t) >= 2), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 8 = b))), ',') AS counts FROM benchmark",
     "signature_metadata": "SELECT item_id, 'pub fn run_' || item_id || '(a: u8, &self, b: u8) -> u8' AS signature, 'public' AS visibility, 2 AS arity FROM benchmark",
+    "preview_snippets": f"WITH {_SNIPPET} SELECT doc_id, preview FROM s",
+    "result_text": f"WITH {_SNIPPET} SELECT doc_id, 'File: ' || source || '/' || doc_id || '.txt' || chr(10) || 'Lines: 1-9' || chr(10) || 'Symbol: ' || CASE WHEN doc_id > 9 THEN doc_id::VARCHAR ELSE '(none detected)' END || ' ((unknown))' || chr(10) || 'Code:' || chr(10) || preview AS shown FROM s",
+    "chunk_dedupe": f"WITH a AS ({_chunks(False)}) SELECT source AS file_path, count(DISTINCT (start_line, end_line, content_hash)) AS chunks, max(end_line)::INT AS last_line FROM a JOIN documents USING (doc_id) GROUP BY source",
+    "tokenize_terms": f"""WITH t AS (SELECT item_id, {_tokens("('HTTPServer2 getUserID x9 the ' || text)", _STOP)} AS l FROM benchmark),
+      u AS (SELECT item_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM t), f AS (SELECT item_id, tok, min(i) AS i FROM u GROUP BY item_id, tok)
+      SELECT item_id, string_agg(tok, ' ' ORDER BY i) AS tokens FROM f GROUP BY item_id""",
+    "embedding_query": "SELECT item_id, 'find db init ' || item_id || chr(10) || 'identifiers: find database db mysql postgres sql sqlite bootstrap init initialize' AS query FROM benchmark",
+    "symbol_score": f"WITH {_NAMED}, h AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN starts_with(name, 'src') THEN 1 ELSE 0 END AS matched FROM n) SELECT doc_id, matched::INT AS matched, round(matched / 3.0, 6)::DOUBLE AS symbol FROM h",
+    "metadata_score": "SELECT doc_id, round((1 + CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 + CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::DOUBLE / (2 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END), 6) AS metadata FROM documents",
+    "specificity_boost": f"WITH {_NAMED} SELECT doc_id, CASE WHEN name = 'src1AuthToken' THEN 0.18 WHEN doc_id % 3 = 1 THEN 0.12 WHEN doc_id % 3 = 0 THEN 0.08 ELSE 0.0 END::DOUBLE AS boost FROM n",
+    "path_scope": "SELECT page_id, page_id % 5 IN (0, 3) AS inside FROM pages",
+    "symbol_chunks": "SELECT item_id || '.py' AS file_path, 'load_' || item_id AS symbol_name, 'function' AS symbol_kind, 4 AS start_line, 6 AS end_line, 2 AS arity, 'internal' AS visibility FROM benchmark",
+    "confidence_labels": "SELECT CASE WHEN value % 100 / 100 >= 0.75 THEN 'high' WHEN value % 100 / 100 >= 0.45 THEN 'medium' ELSE 'low' END AS label, count(*) AS events FROM events GROUP BY 1",
+    "rerank_topk": f"""WITH c AS ({_chunks(True).replace('SELECT doc_id, start_line, end_line, substr(sha256(content), 1, 16) AS content_hash FROM c', 'SELECT doc_id, content, start_line, end_line FROM c')}),
+      t AS (SELECT *, list_transform({_tokens('content', 'true', False)}, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 64) AS b FROM c),
+      q AS (SELECT list_transform(['thanea', 'eriner', 'anea'], lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 64) AS b),
+      e AS (SELECT source || '/' || doc_id || '.txt' AS file_path, content, start_line, end_line, list_transform(range(64), lambda d: len(list_filter(t.b, lambda x: x = d))) AS v, list_transform(range(64), lambda d: len(list_filter(q.b, lambda x: x = d))) AS w FROM t JOIN documents USING (doc_id), q),
+      f AS (SELECT *, list_sum(list_transform(v, lambda x: x * x)) AS vv, list_sum(list_transform(w, lambda x: x * x)) AS ww FROM e),
+      d AS (SELECT *, list_sum(list_transform(list_zip(v, w), lambda z: pow(CASE WHEN vv > 0 THEN z[1] / sqrt(vv::DOUBLE) ELSE 0.0 END::FLOAT::DOUBLE - (z[2] / sqrt(ww::DOUBLE))::FLOAT::DOUBLE, 2))) AS d FROM f),
+      k AS (SELECT * FROM d ORDER BY d, file_path, start_line, end_line LIMIT 40),
+      x AS (SELECT *, {_LOWER.format("file_path || chr(10) || content")} AS x FROM k),
+      h AS (SELECT *, (contains(x, 'thanea')::INT + contains(x, 'eriner')::INT + contains(x, 'anea')::INT) AS m FROM x),
+      r AS (SELECT *, round(m / 3.0, 6)::DOUBLE AS lex FROM h),
+      g AS (SELECT *, round(0.72 / (1 + d) + 0.18 * lex + CASE WHEN contains({_LOWER.format('content')}, 'thanea eriner anea') THEN 0.14 ELSE 0 END, 6) AS score FROM r WHERE d <= 1.35 OR lex >= 0.55),
+      o AS (SELECT *, score >= greatest(round(max(score) OVER () - 0.35, 6), 0.2) AS ok FROM g),
+      u AS (SELECT *, count(*) FILTER (WHERE ok) OVER () AS n FROM o),
+      y AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, m DESC, start_line, end_line) AS nth FROM u WHERE ok OR n = 0)
+      SELECT file_path, start_line, end_line, score, m AS matched_terms, lex AS lexical, 0.0::DOUBLE AS symbol, 0.0::DOUBLE AS metadata FROM y ORDER BY nth > 1, score DESC, m DESC, file_path, start_line, end_line LIMIT 4""",
 }

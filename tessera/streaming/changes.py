@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..operators import store
+from ..schema import CHUNK
 
 GAP_MS = 250
 
@@ -42,9 +43,9 @@ class _Reader(SimpleDataSourceStreamReader):
         return {}
 
     def _rows(self, start: dict, end: dict):
-        for path in sorted(set(start) | set(end)):
-            if start.get(path) != end.get(path):
-                yield (path, "deleted" if path not in end else "modified" if path in start else "created")
+        """Differences of two snapshots, as an iterator that Spark can copy."""
+        differ = [p for p in sorted(set(start) | set(end)) if start.get(p) != end.get(p)]
+        return iter([(p, "deleted" if p not in end else "modified" if p in start else "created") for p in differ])
 
     def read(self, start: dict):
         end = self._snapshot()
@@ -76,19 +77,26 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.format("file_changes").option("root", root).load()
 
 
-def maintain(stream: DataFrame, log: str, checkpoint: str, chunks_of: Callable[[DataFrame], DataFrame], ignored=None):
+def maintain(stream: DataFrame, log: str, checkpoint: str, chunks_of: Callable[[DataFrame], DataFrame], ignored=None, embed_of: Callable[[DataFrame], DataFrame] | None = None):
     """Keep a generation log up to date: each micro-batch writes its changed files' chunks, and deletions, as one generation.
 
-    chunks_of: paths(file_path) -> chunk rows, of the files' present content. A batch that runs again adds the same rows
-    under its own number, and the view shows them once.
+    chunks_of: paths(file_path) -> chunk rows, of the files' present content; embed_of adds their vectors. Files
+    whose chunks are those of the current view are skipped before they are embedded. A path that was deleted, or
+    that yields no chunk any more, becomes a deletion. A batch that runs again replaces its own generation.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         paths = batch.select(F.col("path").alias("file_path"), "kind").distinct()
         if ignored is not None:
             paths = paths.filter(~ignored(F.col("file_path")))
-        gone = store.tombstones(paths.filter("kind = 'deleted'"))
-        rows = chunks_of(paths.filter("kind != 'deleted'").select("file_path")).withColumn("is_tombstone", F.lit(False))
-        store.append(rows.unionByName(gone, allowMissingColumns=True).dropDuplicates(), log, number)
+        rows = chunks_of(paths.filter("kind != 'deleted'").select("file_path").distinct()).persist()
+        earlier = store.open_log(batch.sparkSession, log, CHUNK).filter(F.col("gen") < number)
+        known = store.file_signatures(store.current(earlier).join(paths.select("file_path"), "file_path", "left_semi"))
+        fresh = store.file_signatures(rows).join(known, ["file_path", "signature"], "left_anti").select("file_path")
+        gone = store.tombstones(paths.join(rows.select("file_path"), "file_path", "left_anti"))
+        kept = rows.join(fresh, "file_path", "left_semi")
+        ready = kept if embed_of is None else embed_of(kept)
+        store.append(ready.withColumn("is_tombstone", F.lit(False)).unionByName(gone, allowMissingColumns=True), log, number)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
