@@ -11,10 +11,17 @@ METRICS = {"recall_at_k": True, "precision_at_k": True, "mrr_at_k": True, "ndcg_
 
 
 def relevance(path: Column, symbol: Column, want_path: Column, want_symbol: Column) -> Column:
-    p, s = F.contains(path, want_path), F.coalesce(F.contains(symbol, want_symbol), F.lit(False))
+    p, s = F.coalesce(F.contains(path, want_path), F.lit(False)), F.coalesce(F.contains(symbol, want_symbol), F.lit(False))
     return F.when(p & s, 2).when(p | s, 1).otherwise(0)
 
 
+def judge(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """cases(case_id, expected_...) and results(case_id, rank, file_path, symbol_name, start_line, end_line, distance) -> rows for metrics()."""
+    rel = relevance(F.col("file_path"), F.col("symbol_name"), F.col("expected_file_contains"), F.col("expected_symbol_contains"))
+    want = cases.select("case_id", "expected_file_contains", "expected_symbol_contains")
+    return results.join(want, "case_id").select("case_id", "rank", rel.alias("rel"), F.struct("file_path", "start_line", "end_line").alias("dup_key"), "distance")
+
+
 def metrics(results: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     """results: (case_id, rank, rel, dup_key, distance); cases: (case_id). One row of totals and rates.
 

@@ -8,6 +8,7 @@ from tessera import service
 from tessera.functions import text as T
 from tessera.operators import embed, evaluate, store
 from tessera.schema import CHUNK, conform
+from tessera.sources import packs
 from tessera.streaming import changes
 
 
@@ -119,3 +120,17 @@ def test_generation_written_twice(spark, tmp_path):
     store.append(rows, log, 3)
     store.append(rows, log, 3)
     assert store.current(spark.read.parquet(log)).count() == 1
+
+
+def test_cases_and_judging(spark):
+    assert packs.load_cases(spark, pack="Bug_Triage").count() == 4
+    assert {r.task_family for r in packs.load_cases(spark, pack="all").collect()} == set(packs.PACKS) - {"core"}
+    with pytest.raises(ValueError, match="core, bug-triage"):
+        packs.load_cases(spark, pack="odd")
+    cases = packs.load_cases(spark).limit(1).withColumn("case_id", F.lit(1))
+    rows = [(1, 1, "x.py", None, 1, 2, 0.1), (1, 2, "a/operators/knn.py", None, 1, 2, 0.2), (1, 3, "a/operators/knn.py", "nearest", 1, 2, 0.3)]
+    results = spark.createDataFrame(rows, "case_id int, rank int, file_path string, symbol_name string, start_line int, end_line int, distance double")
+    judged = evaluate.judge(cases, results)
+    assert [r.rel for r in judged.orderBy("rank").collect()] == [0, 1, 2]
+    m = evaluate.metrics(judged, cases.select("case_id"), 3).collect()[0]
+    assert (m.recall_at_k, m.mrr_at_k, m.avg_top_distance) == (1.0, 0.5, 0.1) and m.duplicate_rate == round(1 / 3, 9)
