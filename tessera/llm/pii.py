@@ -30,14 +30,14 @@ _SECRET = "password|passwd|passwort|secret|token|api_key|apikey|access_key"
 #: Kind -> pattern, in the order in which they are tried. All start where no letter or digit stands before.
 PATTERNS = {
     "email": r"[\p{L}\d_][\p{L}\d._%+-]*@[\p{L}\d-]+(?:\.[\p{L}\d-]+)*\.\p{L}{2,}",
+    "hex": r"[0-9a-fA-F]{32,}(?![\p{L}\d])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "aws": r"A[KS]IA[A-Z0-9]{16}(?![A-Z0-9])",
-    "hex": r"[0-9a-f]{32,}(?![\p{L}\d])",
-    "secret": rf"(?<=(?:{_SECRET})[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_.~-]{{6,}}",
+    "secret": rf"(?<=(?i:{_SECRET})[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_.~-]{{6,}}",
     "person": rf"(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}[\p{{L}}'-]+)",
 }
 ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -45,6 +45,8 @@ ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(])(?:" + "|".join(PATTERNS.values()) + ")"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = [_DIGITS, _LOWER, _UPPER, "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 _HEX = ["0123456789abcdef"]
+_HEX_UPPER = ["0123456789ABCDEF"]
+_HEX_MIXED = [_DIGITS, "abcdef", "ABCDEF"]  #: disjoint, so that it stays a bijection and the result mixed
 _OCTETS = ["".join(chr(0x100 + i) for i in range(256))]  #: octets are written so while they are shifted
 
 
@@ -105,7 +107,7 @@ def surrogates(entities: Column, key: str) -> Column:
         return _bind(F.struct(before.alias("head"), after.alias("tail")), lambda p: F.struct(p["head"].alias("head"), F.when(kind == "ip", F.array_join(F.transform(F.split(e, r"\."), lambda o: F.substr(F.lit(_OCTETS[0]), o.cast("int") + 1, F.lit(1))), "")).otherwise(F.substr(e, F.length(p["head"]) + 1, F.length(e) - F.length(p["head"]) - F.length(p["tail"]))).alias("body"), p["tail"].alias("tail"), digits.alias("digits")))
 
     def start(e: Column) -> Column:
-        return _bind(_kind(e), lambda kind: _bind(parts(e, kind), lambda p: F.struct(e.alias("original"), kind.alias("kind"), p["head"].alias("head"), p["tail"].alias("tail"), p["digits"].alias("digits"), F.substr(p["body"], F.lit(1), F.floor(F.length(p["body"]) / 2).cast("int")).alias("left"), F.substr(p["body"], F.floor(F.length(p["body"]) / 2).cast("int") + 1, F.length(p["body"])).alias("right"), F.when(kind == "hex", _strings(_HEX)).when(kind == "ip", _strings(_OCTETS)).otherwise(_strings(_ALPHABETS)).alias("alphabets"))))
+        return _bind(_kind(e), lambda kind: _bind(parts(e, kind), lambda p: F.struct(e.alias("original"), kind.alias("kind"), p["head"].alias("head"), p["tail"].alias("tail"), p["digits"].alias("digits"), F.substr(p["body"], F.lit(1), F.floor(F.length(p["body"]) / 2).cast("int")).alias("left"), F.substr(p["body"], F.floor(F.length(p["body"]) / 2).cast("int") + 1, F.length(p["body"])).alias("right"), F.when((kind == "hex") & ~e.rlike("[A-F]"), _strings(_HEX)).when((kind == "hex") & ~e.rlike("[a-f]"), _strings(_HEX_UPPER)).when(kind == "hex", _strings(_HEX_MIXED)).when(kind == "ip", _strings(_OCTETS)).otherwise(_strings(_ALPHABETS)).alias("alphabets"))))
 
     def step(n: int, x: Column) -> Column:
         mine, other = ("left", "right") if n % 2 == 0 else ("right", "left")

@@ -124,6 +124,18 @@ def test_pii(spark):
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", first["+1 (201) 555-0123"]) and pii.collisions(done).count() == 0
 
 
+def test_pii_secrets_in_any_case(spark):
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    secrets = [token, token.upper(), token[:20] + token[20:].upper(), "AB12" + token[4:].upper(), "Hunter22x", "zq81kkPw", "Sesame_99", "qwe-rty-1"]
+    text = 'token = "{}" TOKEN = "{}" sum {} or {}. Password={} {{"password": "{}", \'API_KEY\' : \'{}\'}} Secret:{}'.format(*secrets)
+    (got,) = pii.replace_pii(frame(spark, [(1, text, "en")])).collect()
+    made = {p.original: p.surrogate for p in got.pii}
+    assert set(made) == set(secrets) and got.n_collisions == 0 and not any(s in got.text for s in secrets)
+    assert [p.kind for p in got.pii] == ["hex"] * 4 + ["secret"] * 4
+    assert made[token.upper()] == made[token].upper() != made[token]
+    assert re.fullmatch("[0-9a-f]{40}", made[token]) and re.fullmatch("[0-9a-fA-F]{40}", made[secrets[2]]) and re.fullmatch("[0-9A-F]{40}", made[secrets[3]])
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "x" * 1500
     rows = [(1, "http://www.Example.com/a?b=1", long), (2, "https://sub.example.org/", long), (3, None, None), (4, "http://a.b/\r\nX: y", "short"), (5, "http://a.b/c", "short"), (6, "weird url", "é" * 600)]
