@@ -5,6 +5,10 @@ up in a hash table of the benchmark's. Runs of matching windows on one alignment
 token, and their slots for consistency: one benchmark value stands for one value of the document and back,
 kind by kind. A re-parameterised question passes, a text that only has the same shape does not.
 
+Two forms of a text are looked up. In the first every name is a placeholder a word, except at the start of a
+sentence. In the second a run of names is one placeholder, and capitalised words that start a sentence are
+names too: there names may change at any place, and for names of another number of words.
+
 The documents are read once, without a shuffle. The benchmark's windows are sent to the executors in blocks
 of a fixed number of windows; a larger benchmark takes more blocks, each with a pass of its own.
 """
@@ -61,43 +65,64 @@ def template(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind > 0, kind.astype(np.uint64), v & _VALUE), kind
 
 
+def collapsed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The template in which any capitalised word is a name and a run of names within a sentence one unit.
+
+    Units with placeholders, each unit's kind, and the token at which each starts, with the end of all.
+    """
+    flags = (v & np.uint64(15)).astype(np.uint8)
+    t, kind = template(v)
+    name = (kind == 3) | ((kind == 0) & (flags & _CAP > 0))
+    first = np.ones(len(v), bool)
+    first[1:] = ~(name[1:] & name[:-1] & (flags[:-1] & _LAST == 0))
+    start = np.flatnonzero(first)
+    return np.where(name, np.uint64(3), t)[start], np.where(name, 3, kind)[start], np.append(start, len(v))
+
+
+def unit_values(v: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of each unit's tokens; a single token's is its own."""
+    prefix = ROLL.prefix(v & _VALUE)
+    return (prefix[start[1:]] - prefix[start[:-1]]) * ROLL.back[start[:-1]]
+
+
 class Block:
-    """A hash table of some items' template windows."""
+    """Hash tables of some items' template windows, for each form and length."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items, found = [], {}
         for item, text in items:
             v = tokens(text)
-            t, kind = template(v)
             if len(v) < LEAST:
                 continue
+            t, kind = template(v)
+            units, unit_kind, unit_start = collapsed(v)
             at = len(self.items)
-            self.items.append((item, v & _VALUE, t, kind))
-            forms = [t]
+            self.items.append((item, len(v), ((v & _VALUE, t, kind, np.arange(len(v) + 1)), (unit_values(v, unit_start), units, unit_kind, unit_start))))
+            forms = [(0, t)]
             if v[0] & np.uint64(_CAP):  # in a document, what stands before may make this word a name
-                forms.append(np.concatenate([[np.uint64(3)], t[1:]]))
-            length = min(WINDOW, len(v))
-            for i, form in enumerate(forms):
+                forms.append((0, np.concatenate([[np.uint64(3)], t[1:]])))
+            if len(units) >= LEAST:
+                forms.append((1, units))
+            for i, (which, form) in enumerate(forms):
+                length = min(WINDOW, len(form))
                 h = ROLL.windows(ROLL.prefix(form), length)
-                for start in range(len(h) if i == 0 else 1):
-                    found.setdefault(length, []).append((int(h[start]), at, start))
+                for start in range(len(h) if i == 0 or which else 1):
+                    found.setdefault((which, length), []).append((int(h[start]), at, start))
         self.tables = {}
-        for length, rows in found.items():
+        for key, rows in found.items():
             rows.sort()
             h, at, start = (np.array(c, d) for c, d in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True))
             maybe = np.zeros(1 << 20, bool)
             maybe[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[length] = (h, at, start, maybe)
+            self.tables[key] = (h, at, start, maybe)
 
-    def hits(self, text: bytes):
-        """(item_id, covered, item_tokens, slots, kind) of each item found in the text."""
-        v = tokens(text)
-        if len(v) < LEAST:
-            return []
-        t, kind = template(v)
+    def alignments(self, which: int, t: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """(item, shift) -> the item's units in windows that it shares with the document, in one form."""
         prefix = ROLL.prefix(t)
         runs: dict[tuple[int, int], set[int]] = {}
-        for length, (h, at, start, maybe) in self.tables.items():
+        for (form, length), (h, at, start, maybe) in self.tables.items():
+            if form != which:
+                continue
             mine = ROLL.windows(prefix, length)
             i = np.flatnonzero(maybe[(mine >> np.uint64(44)).astype(np.int64)])
             if not len(i):
@@ -106,27 +131,42 @@ class Block:
             for p, a, b in zip(i[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
                 for k in range(a, b):
                     runs.setdefault((int(at[k]), int(p) - int(start[k])), set()).update(range(start[k], start[k] + length))
+        return runs
+
+    def hits(self, text: bytes):
+        """(item_id, covered, item_tokens, slots, kind) of each item found in the text."""
+        v = tokens(text)
+        if len(v) < LEAST:
+            return []
         best: dict[int, list] = {}
-        for (at, shift), cover in runs.items():
-            item, value, form, item_kind = self.items[at]
-            j = np.array(sorted(cover))
-            here = v[j + shift] & _VALUE
-            same = (t[j + shift] == form[j]) | ((j == 0) & (here == value[j]))
-            j, here = j[same], here[same]
-            slot = item_kind[j] > 0
-            pairs = set(zip(item_kind[j][slot].tolist(), value[j][slot].tolist(), here[slot].tolist(), strict=True))
-            if len({(k, x) for k, x, _ in pairs}) < len(pairs) or len({(k, y) for k, _, y in pairs}) < len(pairs) or 2 * slot.sum() > len(j):
+        enough = lambda at: at in best and len(best[at][0]) >= min(RUN, COVER * self.items[at][1])
+        for which in (0, 1):
+            t, start = (template(v)[0], np.arange(len(v) + 1)) if which == 0 else collapsed(v)[::2]
+            runs = self.alignments(which, t)
+            if not runs:
                 continue
-            old = best.setdefault(at, [set(), 0, False])
-            old[0].update(j.tolist())
-            old[1] = max(old[1], int(slot.sum()))
-            old[2] |= all(x == y for _, x, y in pairs)
-        out = []
-        for at, (cover, slots, exact) in best.items():
-            item, value = self.items[at][:2]
-            if len(cover) >= min(RUN, COVER * len(value)):
-                out.append((item, len(cover), len(value), slots, "exact" if exact else "template"))
-        return sorted(out)
+            values = unit_values(v, start)
+            done = {at for at, _ in runs if enough(at)}
+            for (at, shift), cover in runs.items():
+                if at in done:  # found in the first form
+                    continue
+                value, form, item_kind, item_start = self.items[at][2][which]
+                j = np.array(sorted(cover))
+                here = values[j + shift]
+                same = (t[j + shift] == form[j]) | ((j == 0) & (here == value[j]))
+                # a run of names at the item's edge may go on in the document beyond it
+                edge = (item_kind[j] == 3) & ((j == 0) | (j == len(form) - 1))
+                same &= ~(edge & (np.diff(start)[j + shift] > np.diff(item_start)[j]))
+                j, here = j[same], here[same]
+                slot = item_kind[j] > 0
+                pairs = set(zip(item_kind[j][slot].tolist(), value[j][slot].tolist(), here[slot].tolist(), strict=True))
+                if len({(k, x) for k, x, _ in pairs}) < len(pairs) or len({(k, y) for k, _, y in pairs}) < len(pairs) or 2 * slot.sum() > len(j):
+                    continue
+                old = best.setdefault(at, [set(), 0, False])
+                old[0].update(k for u in j.tolist() for k in range(item_start[u], item_start[u + 1]))
+                old[1] = max(old[1], int(slot.sum()))
+                old[2] |= all(x == y for _, x, y in pairs)
+        return sorted((self.items[at][0], len(cover), self.items[at][1], slots, "exact" if exact else "template") for at, (cover, slots, exact) in best.items() if enough(at))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):

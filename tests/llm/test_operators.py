@@ -170,6 +170,17 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_decontaminate_names_anywhere(spark):
+    apples = "{0} has {1} apples in her old basket. {0} buys {2} more at the market. How many apples does {0} have?"
+    train = "A slow train left the station in {0} with {1} people and came to the coast when it was dark."
+    bench = spark.createDataFrame([(1, apples.format("Anna", 5, 3)), (2, train.format("New York", 40))], "item_id long, text string")
+    changed = apples.format("Peter", 9, 4)
+    rows = [(1, changed, "en"), (2, train.format("Bern", 52), "en"), (3, f"Said Mr {apples.format('Mary Ann', 9, 4)} Yes", "en"), (4, "Before. " + changed.replace("Peter buys", "Mary buys"), "en"), (5, f"Text {apples.format('Anna', 5, 3)}", "en")]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): "template", (2, 2): "template", (3, 1): "template", (5, 1): "exact"}
+    assert [r.doc_id for r in decontaminate.without_contaminated(frame(spark, rows), bench).collect()] == [4]
+
+
 def labelled(spark):
     rng = random.Random(2)
     clean, bad = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnop"], ["idiot", "scum"]
