@@ -3,7 +3,9 @@
 Numbers, names and units of a text become typed placeholders; windows of the resulting templates are looked
 up in a hash table of the benchmark's. Runs of matching windows on one alignment are then checked token by
 token, and their slots for consistency: one benchmark value stands for one value of the document and back,
-kind by kind. A re-parameterised question passes, a text that only has the same shape does not.
+kind by kind, and no more than half of an alignment may have other values. A re-parameterised question
+passes, a text that only has the same shape does not. Where the slots fail, windows that are equal token by
+token count all the same.
 
 Two forms of a text are looked up. In the first every name is a placeholder a word, except at the start of a
 sentence. In the second a run of names is one placeholder, and capitalised words that start a sentence are
@@ -85,6 +87,13 @@ def unit_values(v: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (prefix[start[1:]] - prefix[start[:-1]]) * ROLL.back[start[:-1]]
 
 
+def literal(j: np.ndarray) -> np.ndarray:
+    """Of the ascending places j those in runs of at least WINDOW neighbours."""
+    ends = np.flatnonzero(np.diff(j) != 1) + 1
+    runs = [r for r in np.split(j, ends) if len(r) >= WINDOW]
+    return np.concatenate(runs) if runs else j[:0]
+
+
 class Block:
     """Hash tables of some items' template windows, for each form and length."""
 
@@ -160,12 +169,16 @@ class Block:
                 j, here = j[same], here[same]
                 slot = item_kind[j] > 0
                 pairs = set(zip(item_kind[j][slot].tolist(), value[j][slot].tolist(), here[slot].tolist(), strict=True))
-                if len({(k, x) for k, x, _ in pairs}) < len(pairs) or len({(k, y) for k, _, y in pairs}) < len(pairs) or 2 * slot.sum() > len(j):
-                    continue
+                equal = here == value[j]
+                if len({(k, x) for k, x, _ in pairs}) < len(pairs) or len({(k, y) for k, _, y in pairs}) < len(pairs) or 2 * (~equal).sum() > len(j):
+                    kept = literal(j[equal])
+                    if not len(kept):
+                        continue
+                    j, slot = kept, item_kind[kept] > 0
                 old = best.setdefault(at, [set(), 0, False])
                 old[0].update(k for u in j.tolist() for k in range(item_start[u], item_start[u + 1]))
                 old[1] = max(old[1], int(slot.sum()))
-                old[2] |= all(x == y for _, x, y in pairs)
+                old[2] |= bool(equal.all())
         return sorted((self.items[at][0], len(cover), self.items[at][1], slots, "exact" if exact else "template") for at, (cover, slots, exact) in best.items() if enough(at))
 
 

@@ -181,6 +181,17 @@ def test_decontaminate_names_anywhere(spark):
     assert [r.doc_id for r in decontaminate.without_contaminated(frame(spark, rows), bench).collect()] == [4]
 
 
+def test_decontaminate_equal_tokens_count(spark):
+    sums = "Compute 12 + 7 * 3 - 4 + 19 / 2 now"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    long = "so 31 then {} and 31 then {} end".format(" ".join(words), " ".join(words[::-1]))
+    names = "lists Smith Jones Miller Baker Cooper Turner and Walker"
+    bench = spark.createDataFrame([(1, sums), (2, long), (3, names)], "item_id long, text string")
+    rows = [(1, f"Now {sums} please", "en"), (2, long.replace("31", "58", 1), "en"), (3, sums.replace("19", "23"), "en"), (4, "Compute 52 + 8 * 6 - 9 + 11 / 5 now", "en"), (5, f"it {names} too", "en"), (6, names.replace("Smith Jones Miller Baker Cooper", "Reed Hall Wood Hill Lake"), "en")]
+    got = {(r.doc_id, r.item_id): (r.kind, r.covered) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): ("exact", 8), (2, 2): ("template", 45), (3, 1): ("template", 8), (5, 3): ("exact", 9)}
+
+
 def labelled(spark):
     rng = random.Random(2)
     clean, bad = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnop"], ["idiot", "scum"]
