@@ -6,7 +6,9 @@ key, the kind and the other half, and a shift stays within the character's own a
 upper case of its script, octets, hexadecimal digits). So it is a bijection on strings of one shape: equal
 entities get equal surrogates wherever they occur (coreference), different ones never the same
 (distinctness), and no table of the corpus' entities has to be gathered, shuffled or sent. Known given
-names are permuted by the key among the names of their gender; titles stay. A card keeps its issuer digit
+names are permuted by the key among the names of their gender; titles stay. Each other word of a name has a surrogate
+of its own, made from key and word alone, and surnames of persons found in a document are replaced in it where they stand
+alone, too. A card keeps its issuer digit
 and its check sum, a phone number its country code, an e-mail address its top-level domain.
 
 Collisions are checked all the same: `n_collisions` counts a document's surrogates that stand for two
@@ -38,9 +40,12 @@ PATTERNS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "aws": r"A[KS]IA[A-Z0-9]{16}(?![A-Z0-9])",
     "secret": rf"(?<=(?i:{_SECRET})[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_.~-]{{6,}}",
-    "person": rf"(?:(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}[\p{{L}}'-]+)",
+    "person": rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}[\p{{L}}'-]+)",
 }
-ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(])(?:" + "|".join(PATTERNS.values()) + ")"
+_ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(])(?:" + "|".join(PATTERNS.values())
+ANY = _ANY + ")"
+_TITLE = rf"(?:(?:{_TITLES})\.? ){{0,3}}"
+_ENDING = r"('s|['-]+)$"  #: after a surname, not part of it
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = [_DIGITS, _LOWER, _UPPER, "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
@@ -94,33 +99,54 @@ def _kind(e: Column) -> Column:
     return tests.otherwise("secret")
 
 
-def surrogates(entities: Column, key: str) -> Column:
-    """Array of entities -> array of structs (kind, original, surrogate), in the same order."""
+def surnames(entities: Column) -> Column:
+    """The last words of the persons among the entities, without an ending; those that begin with others first."""
+    persons = F.filter(entities, lambda e: e.rlike("^(?:" + PATTERNS["person"] + ")$"))
+    last = F.transform(persons, lambda e: F.regexp_replace(F.substring_index(e, " ", -1), _ENDING, ""))
+    return F.sort_array(F.array_distinct(F.filter(last, lambda w: (F.length(w) > 1) & ~w.rlike(rf"^(?:{_TITLES})$"))), asc=False)
+
+
+def surrogates(entities: Column, key: str, known: Column) -> Column:
+    """Array of entities -> array of structs (kind, original, surrogate), in the same order; known surnames are persons."""
     names = F.create_map(*(F.lit(x) for kv in _given(key).items() for x in kv))
 
     def parts(e: Column, kind: Column) -> Column:
-        """head and tail stay; body is shifted."""
+        """head and tail stay; body is shifted, and so is given, a person's given name that isn't known."""
         digits = F.regexp_replace(e, r"\D", "")
         before = F.when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3})", 1)).when(kind == "card", F.substr(e, F.lit(1), F.lit(1))).when(kind == "iban", F.substr(e, F.lit(1), F.lit(2))).when(kind == "aws", F.substr(e, F.lit(1), F.lit(4)))
-        before = before.when(kind == "person", F.concat(F.regexp_extract(e, rf"^((?:{_TITLES})\.? )?", 1), F.regexp_extract(e, rf"^(?:(?:{_TITLES})\.? )?((?:{'|'.join(MALE + FEMALE)}) )?", 1))).otherwise("")
-        after = F.when(kind == "email", F.regexp_extract(e, r"((?:\.example)?\.\p{L}{2,})$", 1)).when(kind == "card", F.substr(e, F.length(e), F.lit(1))).otherwise("")
-        return _bind(F.struct(before.alias("head"), after.alias("tail")), lambda p: F.struct(p["head"].alias("head"), F.when(kind == "ip", F.array_join(F.transform(F.split(e, r"\."), lambda o: F.substr(F.lit(_OCTETS[0]), o.cast("int") + 1, F.lit(1))), "")).otherwise(F.substr(e, F.length(p["head"]) + 1, F.length(e) - F.length(p["head"]) - F.length(p["tail"]))).alias("body"), p["tail"].alias("tail"), digits.alias("digits")))
+        before = before.when(kind == "person", F.regexp_extract(e, rf"^({_TITLE}(?:(?:{'|'.join(MALE + FEMALE)}) )?)", 1)).otherwise("")
+        after = F.when(kind == "email", F.regexp_extract(e, r"((?:\.example)?\.\p{L}{2,})$", 1)).when(kind == "card", F.substr(e, F.length(e), F.lit(1))).when(kind == "person", F.regexp_extract(e, _ENDING, 1)).otherwise("")
+        octets = F.array_join(F.transform(F.split(e, r"\."), lambda o: F.substr(F.lit(_OCTETS[0]), o.cast("int") + 1, F.lit(1))), "")
+        between = lambda p: F.substr(e, F.length(p["head"]) + 1, F.length(e) - F.length(p["head"]) - F.length(p["tail"]))
+        given = lambda p: F.when(kind == "person", F.regexp_extract(between(p), r"^(.*) ", 1)).otherwise("")
+        body = lambda p: F.when(kind == "ip", octets).when(kind == "person", F.substring_index(between(p), " ", -1)).otherwise(between(p))
+        return _bind(F.struct(before.alias("head"), after.alias("tail")), lambda p: F.struct(p["head"].alias("head"), given(p).alias("given"), body(p).alias("body"), p["tail"].alias("tail"), digits.alias("digits")))
+
+    def half(s: Column) -> Column:
+        return F.floor(F.length(s) / 2).cast("int")
+
+    def halves(s: Column, left: str, right: str) -> list[Column]:
+        return [F.substr(s, F.lit(1), half(s)).alias(left), F.substr(s, half(s) + 1, F.length(s)).alias(right)]
 
     def start(e: Column) -> Column:
-        return _bind(_kind(e), lambda kind: _bind(parts(e, kind), lambda p: F.struct(e.alias("original"), kind.alias("kind"), p["head"].alias("head"), p["tail"].alias("tail"), p["digits"].alias("digits"), F.substr(p["body"], F.lit(1), F.floor(F.length(p["body"]) / 2).cast("int")).alias("left"), F.substr(p["body"], F.floor(F.length(p["body"]) / 2).cast("int") + 1, F.length(p["body"])).alias("right"), F.when((kind == "hex") & ~e.rlike("[A-F]"), _strings(_HEX)).when((kind == "hex") & ~e.rlike("[a-f]"), _strings(_HEX_UPPER)).when(kind == "hex", _strings(_HEX_MIXED)).when(kind == "ip", _strings(_OCTETS)).otherwise(_strings(_ALPHABETS)).alias("alphabets"))))
+        kind = F.when(F.array_contains(known, e), "person").otherwise(_kind(e))
+        alphabets = lambda kind: F.when((kind == "hex") & ~e.rlike("[A-F]"), _strings(_HEX)).when((kind == "hex") & ~e.rlike("[a-f]"), _strings(_HEX_UPPER)).when(kind == "hex", _strings(_HEX_MIXED)).when(kind == "ip", _strings(_OCTETS)).otherwise(_strings(_ALPHABETS))
+        return _bind(kind, lambda kind: _bind(parts(e, kind), lambda p: F.struct(e.alias("original"), kind.alias("kind"), *(p[n].alias(n) for n in ("head", "given", "tail", "digits")), *halves(p["body"], "left", "right"), *halves(p["given"], "given_left", "given_right"), alphabets(kind).alias("alphabets"))))
 
     def step(n: int, x: Column) -> Column:
         mine, other = ("left", "right") if n % 2 == 0 else ("right", "left")
-        seed = F.concat_ws("|", F.lit(f"{key}|{n}"), x["kind"], F.length(x["left"]).cast("string"), F.lower(x["head"]), F.when(x["kind"] == "email", F.lower(x["tail"])), F.lower(x[other]))
-        moved = {mine: _shift(x[mine], seed, x["alphabets"]), other: x[other]}
-        return F.struct(*(moved[n].alias(n) if n in moved else x[n].alias(n) for n in ("original", "kind", "head", "tail", "digits", "left", "right", "alphabets")))
+        head = F.when(x["kind"] == "person", "").otherwise(F.lower(x["head"]))  # a name's words don't depend on each other
+        seed = lambda part: F.concat_ws("|", F.lit(f"{key}|{n}"), x["kind"], F.length(x[part + "left"]).cast("string"), head, F.when(x["kind"] == "email", F.lower(x["tail"])), F.lower(x[part + other]))
+        moved = {mine: _shift(x[mine], seed(""), x["alphabets"]), "given_" + mine: F.when(x["given"] == "", "").otherwise(_shift(x["given_" + mine], seed("given_"), x["alphabets"]))}
+        return F.struct(*(moved[n].alias(n) if n in moved else x[n].alias(n) for n in ("original", "kind", "head", "given", "tail", "digits", "left", "right", "given_left", "given_right", "alphabets")))
 
     def finish(x: Column) -> Column:
         body = F.concat(x["left"], x["right"])
         octets = F.array_join(F.transform(_chars(body), lambda c: (F.instr(F.lit(_OCTETS[0]), c) - 1).cast("string")), ".")
-        title = F.regexp_extract(x["head"], rf"^((?:{_TITLES})\.? )?", 1)
+        title = F.regexp_extract(x["head"], rf"^({_TITLE})", 1)
         given = F.trim(F.substr(x["head"], F.length(title) + 1, F.length(x["head"])))
         head = F.when((x["kind"] == "person") & (F.length(given) > 0), F.concat(title, F.element_at(names, given), F.lit(" "))).otherwise(x["head"])
+        head = F.when(x["given"] == "", head).otherwise(F.concat(head, x["given_left"], x["given_right"], F.lit(" ")))
         check = (x["tail"].cast("int") + _luhn(x["digits"]) - _luhn(F.regexp_replace(F.concat(x["head"], body), r"\D", "")) + 10) % 10
         made = F.when(x["kind"] == "ip", octets).when(x["kind"] == "card", F.concat(x["head"], body, check.cast("string"))).otherwise(F.concat(head, body, x["tail"]))
         return F.struct(x["kind"].alias("kind"), x["original"].alias("original"), made.alias("surrogate"))
@@ -140,10 +166,12 @@ def replace_pii(docs: DataFrame, key: str = "tessera", text_col: str = "text") -
     """
     rest = [c for c in docs.columns if c not in (text_col, "pii", "n_collisions")]
     text = F.col(text_col)
-    found = docs.select(*rest, text_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__e"))
-    made = found.withColumn("__p", F.when(F.size("__e") > 0, surrogates(F.col("__e"), key)))
+    found = docs.select(*rest, text_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__e")).withColumn("__n", surnames(F.col("__e")))
+    found = found.withColumn("__any", F.when(F.size("__n") > 0, F.concat(F.lit(_ANY + "|(?:"), F.array_join("__n", "|"), F.lit(r")(?![\p{L}\d]))"))).otherwise(ANY))
+    found = found.withColumn("__e", F.when(F.size("__n") > 0, F.regexp_extract_all(text, F.col("__any"), F.lit(0))).otherwise(F.col("__e")))
+    made = found.withColumn("__p", F.when(F.size("__e") > 0, surrogates(F.col("__e"), key, F.col("__n"))))
     pii = F.coalesce(F.col("__p"), F.array().cast("array<struct<kind:string,original:string,surrogate:string>>"))
-    whole = F.array_join(F.zip_with(F.split(text, ANY), F.transform("__p", lambda p: p["surrogate"]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(F.split(text, F.col("__any")), F.transform("__p", lambda p: p["surrogate"]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
     originals, replaced = F.array_distinct(F.transform(pii, lambda p: p["original"])), F.array_distinct(F.transform(pii, lambda p: p["surrogate"]))
     clash = F.size(originals) - F.size(replaced) + F.size(F.array_intersect(originals, replaced))
     out = made.select(*rest, F.when(F.size("__e") > 0, whole).otherwise(text).alias(text_col), pii.alias("pii"), F.when(F.size(pii) > 0, clash).otherwise(0).alias("n_collisions"))

@@ -136,6 +136,21 @@ def test_pii_secrets_in_any_case(spark):
     assert re.fullmatch("[0-9a-f]{40}", made[token]) and re.fullmatch("[0-9a-fA-F]{40}", made[secrets[2]]) and re.fullmatch("[0-9A-F]{40}", made[secrets[3]])
 
 
+def test_pii_names_of_one_person(spark):
+    text = "Smith came. Mr. John Smith, John Smith, Mr. Smith and Anna Smith's dog; Smith left, Smithson stays. Frau Petra Müller, Herr Prof. Dr. Müller, Müller. Mary Smith's cat"
+    rows = frame(spark, [(1, text, "en"), (2, "Smith and Müller. Dr. Smith", "en"), (3, "Müller alone", "en")])
+    done = pii.replace_pii(rows)
+    got = {r.doc_id: r for r in done.collect()}
+    made = {p.original: p.surrogate for p in got[1].pii}
+    smith, muller = made["Mr. Smith"].split()[-1], made["Müller"]
+    assert len({smith, muller, "Smith", "Müller"}) == 4 and made["Smith"] == smith and made["Herr Prof. Dr. Müller"] == f"Herr Prof. Dr. {muller}"
+    assert made["Mr. John Smith"].split()[0] == "Mr." and made["Mr. John Smith"].split()[1:] == made["John Smith"].split() and made["John Smith"].split()[1] == smith
+    assert made["Mary Smith's"].endswith(f" {smith}'s") and made["Frau Petra Müller"].split()[2] == muller and "Petra" not in got[1].text
+    assert not re.search(r"\bSmith\b|Müller", got[1].text) and "Smithson" in got[1].text
+    assert got[2].text == f"{smith} and Müller. Dr. {smith}" and got[3].text == "Müller alone"
+    assert all(r.n_collisions == 0 and {p.kind for p in r.pii} <= {"person"} for r in got.values()) and pii.collisions(done).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "x" * 1500
     rows = [(1, "http://www.Example.com/a?b=1", long), (2, "https://sub.example.org/", long), (3, None, None), (4, "http://a.b/\r\nX: y", "short"), (5, "http://a.b/c", "short"), (6, "weird url", "é" * 600)]
