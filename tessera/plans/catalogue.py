@@ -65,6 +65,12 @@ def term_variants(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.concat(F.lit("where is the database init model classes "), F.left("text", F.lit(0))))).alias("v")).select("item_id", F.array_join("v", " ").alias("variants"))
 
 
+def text_term_variants(spark, sf_dir):
+    """term_variants over whole texts, behind the same phrase."""
+    t = T.terms(F.concat(F.lit("where is the database init model classes "), F.col("text")))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(t).alias("v")).select("item_id", F.array_join("v", " ").alias("variants"))
+
+
 def intent_and_gate(spark, sf_dir):
     kind = T.intent(F.col("text"))
     gates = F.create_map(*(F.lit(x) for (i, p), w in T.WEIGHTS.items() if p == "precision" for x in (i, w[5])))
@@ -213,7 +219,7 @@ def confidence_labels(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(T.confidence(F.col("value") % 100 / 100).alias("label")).agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (rerank_topk, knn_l2_top10, knn_batch_top5, knn_scope_rescue, line_chunks_fixed, line_chunks_adaptive, content_hash_copies, term_variants, intent_and_gate, lexical_score, diverse_topk, path_ignore, replace_current_view, changed_files, debounce_events, retrieval_metrics, quality_gates, metric_delta, embedding_batches, hashed_counts, signature_metadata, preview_snippets, chunk_dedupe, tokenize_terms, embedding_query, symbol_score, metadata_score, specificity_boost, path_scope, symbol_chunks, result_text, confidence_labels)}
+QUERIES = {f.__name__: f for f in (rerank_topk, knn_l2_top10, knn_batch_top5, knn_scope_rescue, line_chunks_fixed, line_chunks_adaptive, content_hash_copies, term_variants, text_term_variants, intent_and_gate, lexical_score, diverse_topk, path_ignore, replace_current_view, changed_files, debounce_events, retrieval_metrics, quality_gates, metric_delta, embedding_batches, hashed_counts, signature_metadata, preview_snippets, chunk_dedupe, tokenize_terms, embedding_query, symbol_score, metadata_score, specificity_boost, path_scope, symbol_chunks, result_text, confidence_labels)}
 
 _BATCH = f"""v AS (SELECT q.vec_id AS query_id, q.label AS ql, c.vec_id, c.label, {_DIST.format('c.embedding', 'q.embedding')} AS d
     FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
@@ -254,6 +260,7 @@ def _tokens(text: str, keep: str, ordered: bool = True) -> str:
 
 
 _STOP = "{0} NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
+_ALIASES = ", ".join(f"('{k}', {v})" for k, v in T.ALIASES.items())
 _SNIPPET = f"""m AS (SELECT *, l[coalesce(list_position(list_transform(l, lambda x: x <> ''), true), len(l) + 1) :] AS f FROM (SELECT *, {_LINES.format('text')} AS l FROM documents)),
     k AS (SELECT *, len(list_filter(range(1, len(f) + 1), lambda i: list_sum(list_transform(f[1 : i], lambda x: length(x))) + i - 1 <= 260)) AS n FROM m),
     s AS (SELECT *, CASE WHEN length(text) <= 260 THEN text ELSE CASE WHEN n = 0 THEN left(text, 260) ELSE array_to_string(f[1 : n], chr(10)) END || CASE WHEN len(f) > n
@@ -269,6 +276,9 @@ ORACLE_SQL = {
     "line_chunks_adaptive": _chunks(True),
     "content_hash_copies": "SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1",
     "term_variants": "SELECT item_id, v AS variants FROM benchmark, (VALUES ('where'), ('database db mysql postgres sql sqlite'), ('bootstrap init initialize setup'), ('entity model models record'), ('classe classes')) t(v)",
+    "text_term_variants": f"""WITH t AS (SELECT item_id, unnest({_tokens("('where is the database init model classes ' || text)", _STOP, False)}) AS w FROM benchmark),
+      a(k, v) AS (VALUES {_ALIASES})
+      SELECT item_id, array_to_string(list_sort(list_distinct(list_concat([w], CASE WHEN w LIKE '%s' AND strlen(w) > 3 THEN [rtrim(w, 's')] ELSE [] END, coalesce(v, [])))), ' ') AS variants FROM t LEFT JOIN a ON w = k""",
     "intent_and_gate": f"SELECT conv_id, turn, intent, CASE intent WHEN 'usage_lookup' THEN 0.90 WHEN 'architecture_lookup' THEN 1.00 WHEN 'symbol_lookup' THEN 0.85 ELSE 0.95 END::DOUBLE AS gate FROM (SELECT conv_id, turn, CASE WHEN {_any(T.USAGE, 'x')} THEN 'usage_lookup' WHEN {_any(T.ARCHITECTURE, 'x')} THEN 'architecture_lookup' WHEN {_any(T.SYMBOL, 'x')} THEN 'symbol_lookup' ELSE 'exploratory' END AS intent FROM (SELECT conv_id, turn, {_LOWER.format('text')} AS x FROM conversations))",
     "lexical_score": f"SELECT doc_id, matched, round(matched / 2.0, 6)::DOUBLE AS lexical FROM (SELECT doc_id, ((contains(x, 'token') OR contains(x, 'jwt') OR contains(x, 'bearer') OR contains(x, 'sanctum'))::INT + contains(x, 'thanea')::INT)::INT AS matched FROM (SELECT doc_id, {_LOWER.format('source || chr(10) || text')} AS x FROM documents))",
     "diverse_topk": "SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) ORDER BY r > 1, n_chars DESC, doc_id LIMIT 30",

@@ -29,3 +29,12 @@ def test_query_equals_sql(spark, tables, name):
     names = [d[0] for d in sql.description]
     assert sorted(names) == cols
     assert got == sorted(repr([r[names.index(c)] for c in cols]) for r in sql.fetchall())
+
+
+def test_term_variants_of_whole_texts(spark, tmp_path):
+    text = "nothing " * 200 + "The userTokens of a repo"
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    phrase = ["where", "database db mysql postgres sql sqlite", "bootstrap init initialize setup", "entity model models record", "classe classes"]
+    own = ["nothing", "usertoken usertokens", "user", "bearer jwt sanctum token tokens", "repo repository storage"]
+    got = sorted((r.item_id, r.variants) for r in catalogue.QUERIES["text_term_variants"](spark, str(tmp_path)).collect())
+    assert got == sorted([(1, v) for v in phrase + own] + [(2, v) for v in phrase])
