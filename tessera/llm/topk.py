@@ -84,7 +84,7 @@ class ImpactIndex:
 def _pack(key, table):
     ids = table.column("id").to_numpy().astype(np.int64)
     flat = table.column("v").combine_chunks()
-    v = np.asarray(flat.values if isinstance(flat, pa.Array) else flat.chunk(0).values, np.int32)
+    v = np.asarray(flat.values if isinstance(flat, pa.Array) else flat.chunk(0).values, np.int64)
     return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary())})
 
 
@@ -95,9 +95,9 @@ def _searcher(k: int):
             for c, ids, v, qids, qv in zip(*(b.column(n).to_pylist() for n in ("b", "ids", "v", "qids", "qv")), strict=True):
                 if c != have:
                     have, n = c, len(ids) // 8
-                    index = ImpactIndex(np.frombuffer(ids, np.int64), np.frombuffer(v, np.int32).reshape(n, -1))
+                    index = ImpactIndex(np.frombuffer(ids, np.int64), np.frombuffer(v, np.int64).reshape(n, -1))
                 q = np.frombuffer(qids, np.int64)
-                rows = list(index.search(q, np.frombuffer(qv, np.int32).reshape(len(q), -1), k))
+                rows = list(index.search(q, np.frombuffer(qv, np.int64).reshape(len(q), -1), k))
                 if rows:
                     yield batches(dict(zip(_OUT.names, zip(*rows, strict=True), strict=True)), _OUT)
 
@@ -109,16 +109,17 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     null or non-finite components are left out."""
     x = F.col(vector_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("int")).alias("v"))
+    return vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by `every`, its k best others.
 
-    Fewer than k others: all of them. Ties go to the smaller id. Repeated rows count once. Vectors are
+    Fewer than k others: all of them. Ties go to the smaller id. Repeated rows count once; rows that share an id
+    but not their vector all take part. Vectors are
     compared with those of their own length. Other columns are ignored; an empty table gives no rows.
     """
-    ints = integer_vectors(vectors, id_col, vector_col).groupBy("id", F.size("v").alias("dims")).agg(F.min("v").alias("v"))
+    ints = integer_vectors(vectors, id_col, vector_col).distinct().withColumn("dims", F.size("v"))
     n = vectors.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-n // (BLOCK // 8 * every)))
     spread = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m))

@@ -173,6 +173,18 @@ def test_top_k(spark):
     assert {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()} == want
 
 
+def test_top_k_of_shared_ids_and_large_components(spark):
+    rng = random.Random(5)
+    rows = [(i % 70, [float(rng.randrange(-9, 10)) * rng.choice((1, 2**15)) for _ in range(4)]) for i in range(110)] + [(200, [2.0**24, -(2.0**23), 0.0, 1.0]), (201, [-(2.0**25), 0.0, 3.0, 0.5])]
+    rows += [rows[0], rows[100]]
+    distinct = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows}
+    want = set()
+    for q in (0, 50, 200):
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for i, v in distinct if i == q for c, w in distinct if c != q)[:5]
+        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scores)}
+    assert {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()} == want
+
+
 def test_decontaminate(spark):
     item = "A train leaves the old station with 40 passengers and after Smith gets off at noon there are 39 km left to the town of Bern today."
     changed = item.replace("40", "72").replace("Smith", "Jones").replace("39", "11")
