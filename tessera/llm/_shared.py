@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -12,44 +11,60 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: with texts of some KB it bounds a Python worker's memory.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound Arrow batches by rows and by bytes, for long texts; smaller settings of the session stay.
+
+    Spark reads both settings when a query runs, which is after this returns, so they stay lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        now = int(now) if now.lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share, as a URI.
 
-    Where the session has no such setting (tests on one machine), a folder under the warehouse is taken.
+    A setting without a scheme is a path of the session's default file system. Where the session has no such setting
+    (tests on one machine), a folder under the warehouse is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = _hadoop(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    uri = fs.makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    """The file system of a URI, and its path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to shared storage and read it back: its lineage ends there and survives lost executors."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more, between long steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*cuts: DataFrame | None) -> None:
+    """Delete tables that cut() wrote, once all that was made of them is itself written."""
+    for df in cuts:
+        if df is not None and hasattr(df, "cut_path"):
+            fs, path = _hadoop(df.sparkSession, df.cut_path)
+            fs.delete(path, True)
 
 
 def held_out(col: str = "doc_id") -> Column:

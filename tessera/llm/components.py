@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batches, cut
+from ._shared import batches, cut, discard
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -49,6 +49,9 @@ def components(links: DataFrame) -> DataFrame:
         new = both.join(low, "a").select(F.col("m").alias("a"), "b").union(low.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a < b").distinct()
         new = cut(spark, new.mapInArrow(_contract, "a long, b long").distinct(), "links")
         # finished when no node is on both sides: every edge then leads to its component's smallest node, once
-        if new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0 and new.groupBy("b").count().filter("count > 1").limit(1).count() == 0:
+        ends = new.select(F.col("a").alias("x"), F.lit(True).alias("low")).union(new.select("b", F.lit(False)))
+        if ends.groupBy("x").agg(F.max("low").alias("low"), F.count_if(~F.col("low")).alias("n")).filter("n > 1 or n > 0 and low").limit(1).count() == 0:
+            discard(edges)
             return new.select(F.col("b").alias("node"), F.col("a").alias("label"))
+        discard(edges)
         edges = new

@@ -4,15 +4,18 @@ Two sets as similar as asked share one of their first n - ceil(t n) + 1 elements
 same for all; here rare ones come first, by a count of all n-grams in a table of fixed size, then by hash.
 
   1. documents with the same set become one class, and classes with the same size and prefix one group;
-  2. groups are joined on prefix elements that two or more groups hold (the counting is a partial sum);
-  3. pairs are filtered by size, by the place of the shared element in either order, and by the parity of their elements' hashes in 1024 bits, whose distance
-     never exceeds that of the sets, then expanded to classes and verified on the whole texts.
-
-An element that many groups hold is not expanded into all pairs. In rounds, each member is compared with a
-few of its holders, chosen by hash; verified links join components, and a later round compares only members
-that are in different components still. A last step compares all such pairs that the filters leave. No
-link between two components can thus be lost, and the rows of a round grow with the members, not with
-their square.
+  2. the groups' prefix elements are dealt by element, in packed arrays and one exchange. Where two groups meet on an
+     element, the pair is filtered by size, by the element's place in either prefix, and by the element before it: if that
+     is the same in both, the pair meets there as well, so only the first element in common counts;
+  3. group pairs that are left are expanded to their classes, filtered by the parity of their elements' hashes in 1024
+     bits, whose distance never exceeds that of the sets, and verified on the whole texts.
+
+An element that more than RUN groups hold is not expanded into all pairs, nor is a pair of groups with many classes.
+Its holders are compared with a few of them, the hubs, chosen by size and hash; verified links join components, and later
+rounds compare only holders that are in different components still. A last step compares all such pairs that the
+filters leave, in blocks of bounded size. No link between two components can thus be lost, and the rows of a
+round grow with the holders, not with their square. Elements that may be held by very many groups are salted by group
+before they are dealt, so that none of them fills a task.
 """
 
 from __future__ import annotations
@@ -23,18 +26,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ROLL, batches, bounded_batches, cut, hashed_words, longs, release, spread, text_bytes
+from ._shared import ROLL, batches, bounded_batches, cut, discard, hashed_words, longs, spread, text_bytes
 from .components import components
 
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
 SLICES = 32
 BITS = 1024  #: of a class's parity map
+RUN = 10  #: groups on one element, or classes of a group squared, whose pairs are all made at once
+ROUNDS = ((2, 0), (8, 25), (16, 40))  #: of comparisons with hubs: how many hubs, and bands of sizes
+HOT = 14  #: bit length of an element's count from which it is salted; more, where the cells are fuller
+BANDS = 25  #: hubs are told apart by that many bands of a size's logarithm
+STAR = 32  #: texts that are compared with one copy of a hub's text
+CHEAP = 64  #: times the holders' rows that may be compared without looking for hubs before
+BLOCK = 1024  #: holders in a block of the last step
+POSTINGS = 1 << 21  #: in one task, about
+SMALL = 1 << 21  #: row keys that may be broadcast: 16 MB; more are joined by a shuffle
+_FLUSH = 1 << 20  #: postings a task gathers before it deals them
 _SEEN = 200_000  #: groups a task remembers so as not to emit their elements twice
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("g", pa.int64()), ("bits", pa.binary())])
-_POST = pa.schema([("tok", pa.int64()), ("g", pa.int64()), ("i", pa.int32())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("g", pa.int64()), ("bits", pa.binary()), ("pre", pa.binary())])
 _SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
+_MET = pa.schema([("kind", pa.int32()), ("tok", pa.int64()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
+_PAIR, _HUB, _HELD = 0, 1, 2  #: kinds of rows: a pair of groups, a group and a hub of it, a holder of an element
 
 
 def _of_words(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,11 +87,11 @@ def _sum(it):
         yield batches({"slice": list(total), "counts": [a.tobytes() for a in total.values()]}, _SLICE)
 
 
-def rarity(docs: DataFrame, width: int) -> bytes:
-    """For each of CELLS cells the bit length of its count over all documents: one byte, CELLS in all.
+def rarity(docs: DataFrame, width: int) -> tuple[bytes, int]:
+    """For each of CELLS cells the bit length of its count over all documents, one byte each; and the sum of the counts.
 
-    A task's own counts stop at 255, which blurs the order of elements and nothing else. What reaches
-    the driver is SLICES rows for each partition of the sums, CELLS * 8 bytes in all for one partition.
+    A task's own counts stop at 255, which blurs the order of elements, and what is salted, and nothing else. What
+    reaches the driver is SLICES rows for each partition of the sums, CELLS * 8 bytes in all for one partition.
     """
     rows = docs.mapInArrow(_count(width), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_sum, "slice int, counts binary").collect()
     total = np.zeros((SLICES, CELLS // SLICES), np.int64)
@@ -88,61 +102,175 @@ def rarity(docs: DataFrame, width: int) -> bytes:
     while left.any():
         out += left > 0
         left >>= 1
-    return np.minimum(out, 31).tobytes()
+    return np.minimum(out, 31).tobytes(), int(total.sum())
 
 
 def _ordered(h: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Elements as longs whose order is: rarer cells first, then by hash."""
+    """Elements as longs whose order is: rarer cells first, then by hash. The upper six bits are the cell's."""
     cell = rare[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     out = (cell << np.uint64(58)) | (h >> np.uint64(6))
     out.sort()
     return out
 
 
-def _prefix(h: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    n = len(h)
-    keep = n - (percent * n + 99) // 100 + 1
-    pre = _ordered(h, rare)[:keep]
-    return pre, xxhash.xxh64_intdigest(pre.tobytes() + n.to_bytes(8, "little"))
-
-
 def _parity(h: np.ndarray) -> bytes:
     odd = np.bincount((h >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _key(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes())
+
+
 def _signer(width: int, percent: int, rare):
     def run(it):
-        table = np.frombuffer(rare.value, np.uint8)
+        table, seen = np.frombuffer(rare.value, np.uint8), set()
         for b in it:
-            n, node, g, bits = [], [], [], []
+            n, k, g, bits, pres = [], [], [], [], []
             for h in shingles(b.column("t"), width):
                 n.append(len(h))
-                node.append(xxhash.xxh128_digest(h.tobytes()))
-                g.append(_prefix(h, table, percent)[1] if len(h) else 0)
+                k.append(_key(h))
                 bits.append(_parity(h))
-            yield batches({"doc_id": b.column("doc_id"), "n": n, "node": node, "g": longs(np.array(g, np.uint64)), "bits": bits}, _SIG)
+                pre = _ordered(h, table)[: len(h) - (percent * len(h) + 99) // 100 + 1] if len(h) else h
+                raw = pre.tobytes()
+                group = xxhash.xxh64_intdigest(raw + len(h).to_bytes(8, "little"))
+                g.append(group)
+                pres.append(None if group in seen or not len(h) else raw)
+                if len(seen) < _SEEN:
+                    seen.add(group)
+            yield batches({"doc_id": b.column("doc_id"), "r": b.column("r"), "n": n, "k": longs(np.array(k, np.uint64)), "g": longs(np.array(g, np.uint64)), "bits": bits, "pre": pres}, _SIG)
 
     return run
 
 
-def _poster(width: int, percent: int, rare):
+def _dealer(buckets: int, hot: int):
+    """Prefixes (g, n, pre) -> their postings as packed columns, by bucket: element, the one before it, group, size, place."""
+
+    def dealt(pres, groups, sizes):
+        tok = np.frombuffer(b"".join(pres), np.uint64)
+        length = np.array([len(p) // 8 for p in pres])
+        g, n = np.repeat(np.array(groups, np.int64).view(np.uint64), length), np.repeat(np.array(sizes, np.uint32), length)
+        first = np.concatenate([[0], np.cumsum(length)[:-1]])
+        i = (np.arange(len(tok)) - np.repeat(first, length)).astype(np.uint32)
+        prev = np.concatenate([tok[:1], tok[:-1]])
+        prev[first] = spread(g[first])  # nothing stands before the first, which is never the same
+        # an element that up to 2**bits groups hold goes to one bucket for each 2**hot of them
+        salts = np.left_shift(1, np.maximum((tok >> np.uint64(58)).astype(np.int64) - hot, 0)).astype(np.uint64)
+        bucket = (spread(tok + spread(spread(g)) % salts) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cols = [x[order] for x in (tok, prev, g, n, i)]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        used = np.flatnonzero(edge[1:] > edge[:-1])
+        return batches({"bucket": used.astype(np.int32), "posts": [b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in cols) for u in used]}, _DEALT)
+
     def run(it):
-        table, seen = np.frombuffer(rare.value, np.uint8), set()
+        pres, groups, sizes, held = [], [], [], 0
         for b in it:
-            toks, gs = [], []
-            for h in shingles(b.column("t"), width):
-                if not len(h):
-                    continue
-                pre, g = _prefix(h, table, percent)
-                if g in seen:
-                    continue
-                if len(seen) < _SEEN:
-                    seen.add(g)
-                toks.append(pre)
-                gs.append(np.full(len(pre), g, np.uint64))
-            if toks:
-                yield batches({"tok": longs(np.concatenate(toks)), "g": longs(np.concatenate(gs)), "i": np.concatenate([np.arange(len(x), dtype=np.int32) for x in toks])}, _POST)
+            for p, g, n in zip(b.column("pre").to_pylist(), b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True):
+                pres.append(p)
+                groups.append(g)
+                sizes.append(n)
+                held += len(p) // 8
+                if held >= _FLUSH:
+                    yield dealt(pres, groups, sizes)
+                    pres, groups, sizes, held = [], [], [], 0
+        if held:
+            yield dealt(pres, groups, sizes)
+
+    return run
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    types, cols = (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32), [[], [], [], [], []]
+    for blob in blobs:
+        m, at = len(blob) // 32, 0
+        for c, t in zip(cols, types, strict=True):
+            c.append(np.frombuffer(blob, t, m, at))
+            at += m * np.dtype(t).itemsize
+    return [np.concatenate(c) for c in cols]
+
+
+def _possible(a: np.ndarray, b: np.ndarray, prev, g, n, i, percent: int) -> np.ndarray:
+    """Whether rows a and b may be two groups of a link whose first common element this is."""
+    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
+    least = -(-percent * (na + nb) // (100 + percent))  # elements in common; what stands before the first can be but few
+    return (prev[a] != prev[b]) & (g[a] != g[b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (i[a] <= na - least) & (i[b] <= nb - least)
+
+
+def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the first of equal pairs (x, y)."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((y, x))
+    u, v = x[order], y[order]
+    return order[np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])]
+
+
+def _meeter(percent: int, hot: int, most: int):
+    def run(it):
+        blobs = [p for b in it for p in b.column("posts").to_pylist()]
+        if not blobs:
+            return
+        tok, prev, g, n, i = _unpacked(blobs)
+        blobs.clear()
+        salted = (tok >> np.uint64(58)).astype(np.int64) > hot
+        order = np.argsort(tok, kind="stable")
+        t = tok[order]
+        alone = np.concatenate([[True], t[1:] != t[:-1]]) & np.concatenate([t[1:] != t[:-1], [True]])
+        keep = order[~alone | salted[order]]
+        tok, prev, g, n, i = (x[keep] for x in (tok, prev, g, n, i))
+        order = _distinct(tok, g)  # by element, then group; copies that several tasks emitted go
+        tok, prev, g, n, i = (x[order] for x in (tok, prev, g, n, i))
+        if not len(tok):
+            return
+        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        length = np.diff(np.append(start, len(tok)))
+        salted = (tok[start] >> np.uint64(58)).astype(np.int64) > hot
+        same = np.minimum.reduceat(prev, start) == np.maximum.reduceat(prev, start)
+        many = salted | (length > most) & ~same
+        few = ~salted & (length > 1) & (length <= most) & ~same
+
+        def rows(kind, a, **cols):
+            for at in range(0, len(a), 100_000):
+                s = slice(at, at + 100_000)
+                zero = np.zeros(len(a[s]), np.int64)
+                col = lambda name: cols[name][s].astype(np.uint64).view(np.int64) if name in cols else zero  # noqa: E731, B023
+                yield batches({"kind": zero.astype(np.int32) + kind, "g": longs(a[s]), **{c: longs(col(c)) for c in ("tok", "h", "n", "i")}}, _MET)
+
+        at = np.flatnonzero(np.repeat(few, length))
+        found = []
+        for d in range(1, most):
+            a, b = at[:-d], at[d:]
+            ok = tok[a] == tok[b]
+            if not ok.any():
+                break
+            a, b = a[ok], b[ok]
+            ok = _possible(a, b, prev, g, n, i, percent)
+            found.append((a[ok], b[ok]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = g[a], g[b]  # groups ascend within an element
+            first = _distinct(a, b)
+            yield from rows(_PAIR, a[first], h=b[first])
+
+        at = np.flatnonzero(np.repeat(many, length))
+        if not len(at):
+            return
+        band, rank = np.floor(np.log(n[at]) * BANDS).astype(np.int64), spread(g[at])
+        found = []
+        for part in (band, np.zeros(len(at), np.int64)):
+            order = np.lexsort((rank, part, tok[at]))
+            u, v = tok[at][order], part[order]
+            edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+            hub = np.repeat(at[order[edge]], np.diff(np.append(edge, len(at))))
+            mine = at[order]
+            ok = _possible(mine, hub, prev, g, n, i, percent)
+            found.append((mine[ok], hub[ok]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = g[a], g[b]
+        first = _distinct(a, b)
+        yield from rows(_HUB, a[first], h=b[first])
+        yield from rows(_HELD, g[at], tok=tok[at], n=n[at], i=i[at])
 
     return run
 
@@ -164,103 +292,181 @@ def _near(percent: int):
 
 
 def _verifier(width: int, percent: int):
+    """Rows (u, s, v, t), sorted: a hub's text, where v is null, then the texts of its partners v. The links of those."""
+
     def run(it):
+        hub, have = None, None
         for batch in it:
-            ok = []
-            for x, y in zip(shingles(batch.column("ta"), width), shingles(batch.column("tb"), width), strict=True):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, b = [], []
+            for u, s, v, x in zip(batch.column("u").to_pylist(), batch.column("s").to_pylist(), batch.column("v").to_pylist(), shingles(batch.column("t"), width), strict=True):
+                if _key(x) != (u if v is None else v) % 2**64:  # another text whose row has the same key
+                    continue
+                if v is None:
+                    hub, have = (u, s), x
+                elif hub == (u, s):
+                    same = len(np.intersect1d(x, have, assume_unique=True))
+                    if 100 * same >= percent * (len(x) + len(have) - same):
+                        a.append(min(u, v))
+                        b.append(max(u, v))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: tuple[tuple[int, int], ...] = ((2, 0), (8, 25), (16, 40)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among pairs(a, b) of classes, by their whole texts.
+
+    The end that is in more pairs is the hub. A hub's text is sent once for STAR partners, so that no hub's pairs meet in
+    one task. Only texts of the classes that are asked for are shuffled, if their keys are few enough to be sent to all.
+    """
+    spark = pairs.sparkSession
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("deg")).join(classes.select("k", "r"), "k")
+    of = lambda x: ends.select(F.col("k").alias(x), F.col("deg").alias(f"d{x}"), F.col("r").alias(f"r{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    hub = F.struct("da", "a") >= F.struct("db", "b")
+    side = lambda x, y, name: F.when(hub, F.col(x)).otherwise(F.col(y)).alias(name)
+    stars = both.select(side("a", "b", "u"), side("ra", "rb", "ru"), side("b", "a", "v"), side("rb", "ra", "rv"), side("da", "db", "d"))
+    stars = cut(spark, stars.withColumn("s", F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / STAR))).drop("d"), "stars")
+    keys = stars.select(F.explode(F.array("ru", "rv")).alias("r")).distinct()
+    if 2 * stars.count() <= SMALL:
+        keys = F.broadcast(keys)
+    some = cut(spark, texts.join(keys, "r", "left_semi").groupBy("r").agg(F.first("t").alias("t")), "texts")
+    partners = stars.join(some, stars["rv"] == some["r"]).select("u", "s", "v", "t")
+    hubs = stars.select("u", "s", "ru").distinct().join(some, F.col("ru") == some["r"]).select("u", "s", F.lit(None).cast("long").alias("v"), "t")
+    rows = partners.unionByName(hubs).repartition("u", "s").sortWithinPartitions("u", "s", F.col("v").asc_nulls_first())
+    links = cut(spark, rows.mapInArrow(_verifier(width, percent), "a long, b long"), "found")
+    discard(stars, some)
+    return links
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: tuple[tuple[int, int], ...] = ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when 100 * common >= percent * union. Null and empty texts have no n-grams and link
     with nothing: their component is themselves. Repeated rows are copies of one another. Rows of one id
-    with different texts share that id's component. A null id stays null, and its component is that of the
-    documents with its text that have ids, or null. Other columns are ignored; an empty table gives no rows.
-    `rounds`: how many holders of an element each member is compared with, round by round, and how finely
-    the holders are told apart by size for that (bands of the sizes' logarithm; 0: not).
+    with different texts are told apart. A null id stays null; its text links others all the same, and its component is
+    the smallest id reachable, or null. Other columns are ignored; an empty table gives no rows.
+    `rounds`: how many holders of an element that many groups hold each holder is compared with, round by round, and how
+    finely those are told apart by size (bands of the sizes' logarithm; 0: not); `run`: up to how many are all compared at
+    once; `hot`: the bit length of counts from which elements are salted, at least.
     """
+    sigs, parts = _parts(docs, width, percent, rounds, run, hot, id_col, text_col)
+    rows = sigs.join(parts.withColumnRenamed("k", "key"), (sigs["k"] == F.col("key")) & (sigs["n"] > 0), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _parts(docs: DataFrame, width: int, percent: int, rounds=ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, r, n, k: class, g) of all documents; and (k, label, component) of all classes, component being the
+    smallest id of the label's classes."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
-    rare = spark.sparkContext.broadcast(rarity(texts, width))
-    sigs = cut(spark, texts.mapInArrow(_signer(width, percent, rare), "doc_id long, n long, node binary, g long, bits binary"), "sigs")
-    classes = cut(spark, sigs.filter("n > 0").groupBy("node", "n", "g").agg(F.min("doc_id").alias("c"), F.first("bits").alias("bits")).filter("c is not null"), "classes")
-
-    posts = texts.mapInArrow(_poster(width, percent, rare), "tok long, g long, i int")
-    # copies that several tasks emit count, too; that keeps a few more elements, which no round pairs
-    shared = posts.groupBy("tok").count().filter("count > 1").select("tok")
-    held = posts.join(shared, "tok").join(classes.select("g", "c", "n"), "g").select("tok", "c", "n", "i")
-    crowds = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g")
-    held = held.union(classes.join(crowds, "g").select(F.col("g").alias("tok"), "c", "n", F.lit(0).alias("i")))
-    held = cut(spark, held.withColumn("label", F.col("c")), "held")
-    del posts, shared, crowds
-    release(spark)
-
-    reps = texts.join(classes.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    def verified(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """pairs(a, b) -> links(a, b), and the pairs that were compared; those tried before aren't again."""
-        pairs = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for x in "ab":
-            pairs = pairs.join(classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")), x)
-        pairs = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long").distinct()
-        pairs = cut(spark, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        both = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.mapInArrow(_verifier(width, percent), "a long, b long"), pairs
-
-    # of two sets with so many elements in common, what stands before their first common one can be but few
-    least = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
-    possible = f"ia <= na - {least} and ib <= nb - {least} and least(na - ia, nb - ib) + least(ia, ib) >= {least}"
-    links, labels, tried = None, None, None
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("t")).withColumn("r", F.xxhash64("doc_id", "t"))
+    cells, total = rarity(texts.select("t"), width)
+    rare = spark.sparkContext.broadcast(cells)
+    wide = cut(spark, texts.mapInArrow(_signer(width, percent, rare), "doc_id long, r long, n long, k long, g long, bits binary, pre binary"), "wide")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // POSTINGS)
+    hot = max(hot, (total // CELLS).bit_length() + 3)
+    dealt = wide.filter("pre is not null").select("g", "n", "pre").mapInArrow(_dealer(4 * tasks, hot), "bucket int, posts binary")
+    met = cut(spark, dealt.repartition(tasks, "bucket").mapInArrow(_meeter(percent, hot, run), "kind int, tok long, g long, h long, n long, i long"), "met")
+    sigs = cut(spark, wide.select("doc_id", "r", "n", "k", "g"), "sigs")
+    classes = cut(spark, wide.filter("n > 0").groupBy("k", "n", "g").agg(F.min("doc_id").alias("c"), F.min("r").alias("r"), F.first("bits").alias("bits")), "classes")
+    discard(wide)
+
+    # pairs of groups, each with its number of classes; a group of several classes is paired with itself
+    crowds = classes.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("h").alias("x"), "h"))), 1, 3)
+    hubs = met.filter(F.col("kind") == _HUB).groupBy("g").agg(few.alias("h")).select("g", F.explode("h.h").alias("h"))
+    pairs = met.filter(F.col("kind") == _PAIR).select("g", "h").union(hubs).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).union(crowds.select("g", F.col("g").alias("h"))).distinct()
+    pairs = pairs.join(crowds, "g", "left").withColumnRenamed("m", "mg").join(crowds.select(F.col("g").alias("h"), "m"), "h", "left")
+    groups = cut(spark, pairs.select("g", "h", (F.coalesce("mg", F.lit(1)) * F.coalesce("m", F.lit(1))).alias("m")), "groups")
+
+    def side(x: str, g: str) -> DataFrame:
+        return classes.select(F.col("g").alias(g), F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    expanded = groups.filter(F.col("m") <= run * run).join(side("a", "g"), "g").join(side("b", "h"), "h").filter("a != b")
+    # the classes of pairs of groups with many are holders of an element of their own
+    large = groups.filter(F.col("m") > run * run).select(F.xxhash64("g", "h").alias("tok"), F.explode(F.array_distinct(F.array("g", "h"))).alias("g"), F.lit(0).cast("long").alias("i"))
+    held = met.filter(F.col("kind") == _HELD).select("tok", "g", "i").union(large).join(classes.select("g", "n", F.col("k").alias("c")), "g")
+    held = cut(spark, held.select("tok", "c", "n", "i"), "held")
+
+    def compared(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+        """pairs(a, b, na, nb, bits_a, bits_b) -> links(a, b), and the pairs that were compared; those tried before aren't again. No links where
+        all have been."""
+        near = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long")
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = cut(spark, near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if tried is not None and near.limit(1).count() == 0:
+            return None, near
+        return _verified(near, texts, classes, width, percent), near
+
+    links, tried = compared(expanded, None)
+    discard(met, groups)
+    labels, last = components(links), False
     for i, (hubs, bands) in enumerate((*rounds, (0, 0))):
-        if labels is not None:
-            held = held.drop("label").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", "i", F.coalesce("label", "c").alias("label"))
-            split = held.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok")
-            held = cut(spark, held.join(split, "tok"), "held")
-            if held.limit(1).count() == 0:
-                break
-        x = held.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"))
+        if last:
+            break
+        whole = held.select("tok", "c", "n", "i").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", "i", F.coalesce("label", "c").alias("label"))
+        split = whole.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("tok", "size")
+        whole = cut(spark, whole.join(split, "tok"), "held")
+        discard(held)
+        held = whole
+        rows, squares = held.agg(F.count("*"), F.sum("size")).collect()[0]
+        if not rows:
+            break
+        if squares <= CHEAP * rows:  # so few on each element that all may be compared at once
+            last, hubs = True, 0
+        x = held.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), "size")
+        least = lambda na, nb: F.ceil(percent * (na + nb) / (100 + percent))
         if hubs:
-            # one row for each member and element, with the hubs that may be near; then a member's hubs once each
+            # one row for each holder and element, with the hubs that may be near; then a holder's hubs once each
             band = F.floor(F.log("n") * bands)
             chosen = held.groupBy("tok", band.alias("band")).agg(F.array(*(F.min_by(F.struct("c", "n", "i", "label"), F.xxhash64("c", F.lit(1000 * i + s))) for s in range(hubs))).alias("hubs"))
 
             def near(h):
                 na, nb = F.col("na"), h["n"]
-                least = F.ceil(percent * (na + nb) / (100 + percent))
-                return (h["label"] != F.col("la")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least) & (h["i"] <= nb - least)
+                return (h["label"] != F.col("la")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least(na, nb)) & (h["i"] <= nb - least(na, nb))
 
             some = x.withColumn("band", F.floor(F.log("na") * bands)).join(chosen, ["tok", "band"]).select("a", F.transform(F.filter("hubs", near), lambda h: F.struct(F.xxhash64(h["c"]).alias("x"), h["c"].alias("c"))).alias("b")).filter("size(b) > 0")
             few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("b")))), 1, 2 * hubs)  # the last step compares the others
             pairs = some.groupBy("a").agg(few.alias("b")).select("a", F.explode("b.c").alias("b"))
         else:
-            y = held.select("tok", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"))
-            pairs = x.join(y, "tok").filter(f"a < b and la != lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {possible}").select("a", "b")
-        found, pairs = verified(pairs, tried)
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(spark, found, "found")
-        release(spark)
-        links = found if links is None else links.union(found)
+            # an element's holders fall into blocks, and each pair of blocks is a key of its own
+            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+            x = x.withColumn("p", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            x = x.select("tok", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "a", "na", "ia", "la", "p", "q")
+            y = x.select("tok", "lo", "hi", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"), F.col("la").alias("lb"), F.col("p").alias("pb"))
+            na, nb = F.col("na"), F.col("nb")
+            fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least(na, nb)) & (F.col("ib") <= nb - least(na, nb))
+            pairs = x.join(y, ["tok", "lo", "hi"]).filter((F.col("la") != F.col("lb")) & ((F.col("p") < F.col("pb")) | (F.col("lo") == F.col("hi")) & (F.col("a") < F.col("b"))) & fits).select("a", "b").distinct()
+        for e in "ab":
+            pairs = pairs.join(classes.select(F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits_{e}")), e)
+        found, pairs = compared(pairs, tried)
+        if found is None:
+            continue
+        tried, links = tried.union(pairs), links.union(found)
         labels = components(links)
 
-    of_class = classes.withColumnRenamed("node", "key").join(labels, F.col("c") == F.col("node"), "left").select("key", F.coalesce("label", "c").alias("component"))
-    rows = sigs.join(of_class, (sigs["node"] == of_class["key"]) & (sigs["n"] > 0), "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    labelled = classes.select("k", "c").join(labels, F.col("k") == F.col("node"), "left").select("k", "c", F.coalesce("label", "k").alias("label"))
+    least_ids = labelled.groupBy("label").agg(F.min("c").alias("component"))
+    return sigs, labelled.select("k", "label").join(least_ids, "label")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, unchanged, less the near copies: of each component the row with the smallest id stays.
+    """The rows of docs, unchanged, less the near copies: of each component one row stays, that with the smallest id.
 
-    Of rows that share an id one stays. Rows without words are no copies of anything and stay; so do rows
-    with a null id, which nothing names.
+    Of the component's rows with that id, the one whose text sorts first stays; rows with an id come before those
+    without. Rows without words are no copies of anything and stay, repeated ones too.
     """
-    found = jaccard_components(docs, width, percent)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    spark = docs.sparkSession
+    sigs, parts = _parts(docs, width, percent)
+    of = sigs.filter("n > 0").join(parts.select("k", "label"), "k").select("r", "doc_id", "label")
+    first = of.groupBy("label").agg(F.min_by("r", F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("first"))
+    rows = of.groupBy("r", "label").agg(F.count("*").alias("rows")).join(first, "label")
+    # rows of a text that goes, or that is there several times with its id; of the latter one may stay
+    odd = cut(spark, rows.filter("r != first or rows > 1").select("r", (F.col("r") == F.col("first")).alias("stays")), "odd")
+    keyed = docs.withColumn("__r", F.xxhash64(F.col("doc_id").cast("long"), text_bytes()))
+    gone, one = odd.select(F.col("r").alias("__r")), odd.filter("stays").select(F.col("r").alias("__r"))
+    if odd.count() <= SMALL:
+        gone, one = F.broadcast(gone), F.broadcast(one)
+    kept = keyed.join(gone, "__r", "left_anti").unionByName(keyed.join(one, "__r", "left_semi").dropDuplicates(["__r"]))
+    return kept.select(*docs.columns)
