@@ -11,11 +11,12 @@ same for all; here rare ones come first, by a count of all n-grams in a table of
      bits, whose distance never exceeds that of the sets, and verified on the whole texts.
 
 An element that more than RUN groups hold is not expanded into all pairs, nor is a pair of groups with many classes.
-Its holders are compared with a few of them, the hubs, chosen by size and hash; verified links join components, and later
-rounds compare only holders that are in different components still. A last step compares all such pairs that the
-filters leave, in blocks of bounded size. No link between two components can thus be lost, and the rows of a
-round grow with the holders, not with their square. Elements that may be held by very many groups are salted by group
-before they are dealt, so that none of them fills a task.
+Each holder is compared with a few others, the hubs, chosen by size and hash, and verified links join components. In
+later rounds the postings of those holders are dealt again, with the components; only holders in different components
+and with different elements before are paired, all of them where they are FEW, and with new hubs else. A last step pairs
+what is left in blocks of bounded size. No link between two components can thus be lost, and the rows of a round grow
+with the holders, not with their square. Elements that may be held by very many groups are salted by group before they are
+dealt, so that none of them fills a task.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ from .components import components
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
 SLICES = 32
 BITS = 1024  #: of a class's parity map
-RUN = 10  #: groups on one element, or classes of a group squared, whose pairs are all made at once
-ROUNDS = ((2, 0), (8, 25), (16, 40))  #: of comparisons with hubs: how many hubs, and bands of sizes
+RUN = 10  #: groups on one element, or classes of a group, whose pairs are all made at once
+FEW = 64  #: holders in other components, or with other elements before, that are paired with all others
+ROUNDS = 2  #: of comparisons with hubs after the first
 HOT = 14  #: bit length of an element's count from which it is salted; more, where the cells are fuller
 BANDS = 25  #: hubs are told apart by that many bands of a size's logarithm
 STAR = 32  #: texts that are compared with one copy of a hub's text
-CHEAP = 64  #: times the holders' rows that may be compared without looking for hubs before
 BLOCK = 1024  #: holders in a block of the last step
 POSTINGS = 1 << 21  #: in one task, about
 SMALL = 1 << 21  #: row keys that may be broadcast: 16 MB; more are joined by a shuffle
@@ -47,8 +48,9 @@ _SEEN = 200_000  #: groups a task remembers so as not to emit their elements twi
 _SIG = pa.schema([("doc_id", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("g", pa.int64()), ("bits", pa.binary()), ("pre", pa.binary())])
 _SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
-_MET = pa.schema([("kind", pa.int32()), ("tok", pa.int64()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
-_PAIR, _HUB, _HELD = 0, 1, 2  #: kinds of rows: a pair of groups, a group and a hub of it, a holder of an element
+_MET = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("tok", pa.int64()), ("prev", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
+_MET_SQL = "kind int, x long, y long, tok long, prev long, n long, i long"
+_PAIR, _HUB, _HELD = 0, 1, 2  #: kinds of rows: a pair, a holder and its hub, a holder of an element with many
 
 
 def _of_words(x: np.ndarray, width: int) -> np.ndarray:
@@ -143,62 +145,58 @@ def _signer(width: int, percent: int, rare):
     return run
 
 
-def _dealer(buckets: int, hot: int):
-    """Prefixes (g, n, pre) -> their postings as packed columns, by bucket: element, the one before it, group, size, place."""
+_TYPES = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32)  #: element, that before it, holder, label, size, place
+_WIDTH = sum(np.dtype(t).itemsize for t in _TYPES)
 
-    def dealt(pres, groups, sizes):
-        tok = np.frombuffer(b"".join(pres), np.uint64)
-        length = np.array([len(p) // 8 for p in pres])
-        g, n = np.repeat(np.array(groups, np.int64).view(np.uint64), length), np.repeat(np.array(sizes, np.uint32), length)
+
+def _dealer(buckets: int, hot: int, seed: int):
+    """Prefixes (x: holder, label, n, pre) -> their postings as packed columns, by bucket. A null label is the holder's own."""
+
+    def dealt(rows):
+        pres, holders, labels, sizes = zip(*rows, strict=True)
+        tok, length = np.frombuffer(b"".join(pres), np.uint64), np.array([len(p) // 8 for p in pres])
+        x, label, n = (np.repeat(np.array(v, t), length) for v, t in ((holders, np.int64), (labels, np.int64), (sizes, np.uint32)))
+        x, label = x.view(np.uint64), label.view(np.uint64)
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
         i = (np.arange(len(tok)) - np.repeat(first, length)).astype(np.uint32)
         prev = np.concatenate([tok[:1], tok[:-1]])
-        prev[first] = spread(g[first])  # nothing stands before the first, which is never the same
+        prev[first] = spread(x[first])  # nothing stands before the first, which is never the same
         # an element that up to 2**bits groups hold goes to one bucket for each 2**hot of them
         salts = np.left_shift(1, np.maximum((tok >> np.uint64(58)).astype(np.int64) - hot, 0)).astype(np.uint64)
-        bucket = (spread(tok + spread(spread(g)) % salts) % np.uint64(buckets)).astype(np.int32)
+        bucket = (spread(tok + spread(spread(x) + np.uint64(seed)) % salts) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        cols = [x[order] for x in (tok, prev, g, n, i)]
+        cols = [v[order] for v in (tok, prev, x, label, n, i)]
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         used = np.flatnonzero(edge[1:] > edge[:-1])
-        return batches({"bucket": used.astype(np.int32), "posts": [b"".join(x[edge[u] : edge[u + 1]].tobytes() for x in cols) for u in used]}, _DEALT)
+        return batches({"bucket": used.astype(np.int32), "posts": [b"".join(v[edge[u] : edge[u + 1]].tobytes() for v in cols) for u in used]}, _DEALT)
 
     def run(it):
-        pres, groups, sizes, held = [], [], [], 0
+        rows, held = [], 0
         for b in it:
-            for p, g, n in zip(b.column("pre").to_pylist(), b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True):
-                pres.append(p)
-                groups.append(g)
-                sizes.append(n)
+            for p, x, label, n in zip(*(b.column(c).to_pylist() for c in ("pre", "x", "label", "n")), strict=True):
+                rows.append((p, x, x if label is None else label, n))
                 held += len(p) // 8
                 if held >= _FLUSH:
-                    yield dealt(pres, groups, sizes)
-                    pres, groups, sizes, held = [], [], [], 0
-        if held:
-            yield dealt(pres, groups, sizes)
+                    yield dealt(rows)
+                    rows, held = [], 0
+        if rows:
+            yield dealt(rows)
 
     return run
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    types, cols = (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32), [[], [], [], [], []]
+    cols = [[] for _ in _TYPES]
     for blob in blobs:
-        m, at = len(blob) // 32, 0
-        for c, t in zip(cols, types, strict=True):
+        m, at = len(blob) // _WIDTH, 0
+        for c, t in zip(cols, _TYPES, strict=True):
             c.append(np.frombuffer(blob, t, m, at))
             at += m * np.dtype(t).itemsize
     return [np.concatenate(c) for c in cols]
 
 
-def _possible(a: np.ndarray, b: np.ndarray, prev, g, n, i, percent: int) -> np.ndarray:
-    """Whether rows a and b may be two groups of a link whose first common element this is."""
-    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
-    least = -(-percent * (na + nb) // (100 + percent))  # elements in common; what stands before the first can be but few
-    return (prev[a] != prev[b]) & (g[a] != g[b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (i[a] <= na - least) & (i[b] <= nb - least)
-
-
 def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of the first of equal pairs (x, y)."""
+    """Places of the first of equal pairs (x, y), in order of x, then y."""
     if not len(x):
         return np.zeros(0, np.int64)
     order = np.lexsort((y, x))
@@ -206,71 +204,114 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])]
 
 
-def _meeter(percent: int, hot: int, most: int):
+def _others(values: np.ndarray) -> np.ndarray:
+    """Places of the values that aren't the most frequent one."""
+    u, back, n = np.unique(values, return_inverse=True, return_counts=True)
+    return np.flatnonzero(back != np.argmax(n))
+
+
+def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
+    """Packed postings -> pairs of holders, holders with hubs, and holders that later rounds look at.
+
+    Round 0 makes all pairs on an element of up to `most` holders; others are left to later rounds.
+    """
+
     def run(it):
         blobs = [p for b in it for p in b.column("posts").to_pylist()]
         if not blobs:
             return
-        tok, prev, g, n, i = _unpacked(blobs)
+        tok, prev, x, label, n, i = _unpacked(blobs)
         blobs.clear()
         salted = (tok >> np.uint64(58)).astype(np.int64) > hot
         order = np.argsort(tok, kind="stable")
         t = tok[order]
         alone = np.concatenate([[True], t[1:] != t[:-1]]) & np.concatenate([t[1:] != t[:-1], [True]])
         keep = order[~alone | salted[order]]
-        tok, prev, g, n, i = (x[keep] for x in (tok, prev, g, n, i))
-        order = _distinct(tok, g)  # by element, then group; copies that several tasks emitted go
-        tok, prev, g, n, i = (x[order] for x in (tok, prev, g, n, i))
+        tok, prev, x, label, n, i = (v[keep] for v in (tok, prev, x, label, n, i))
+        order = _distinct(tok, x)  # by element, then holder; copies that several tasks emitted go
+        tok, prev, x, label, n, i = (v[order] for v in (tok, prev, x, label, n, i))
         if not len(tok):
             return
+        n, i = n.astype(np.int64), i.astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         length = np.diff(np.append(start, len(tok)))
         salted = (tok[start] >> np.uint64(58)).astype(np.int64) > hot
         same = np.minimum.reduceat(prev, start) == np.maximum.reduceat(prev, start)
+        same |= np.minimum.reduceat(label, start) == np.maximum.reduceat(label, start)
         many = salted | (length > most) & ~same
-        few = ~salted & (length > 1) & (length <= most) & ~same
-
-        def rows(kind, a, **cols):
-            for at in range(0, len(a), 100_000):
-                s = slice(at, at + 100_000)
-                zero = np.zeros(len(a[s]), np.int64)
-                col = lambda name: cols[name][s].astype(np.uint64).view(np.int64) if name in cols else zero  # noqa: E731, B023
-                yield batches({"kind": zero.astype(np.int32) + kind, "g": longs(a[s]), **{c: longs(col(c)) for c in ("tok", "h", "n", "i")}}, _MET)
+        few = ~salted & (length > 1) & (length <= most) & ~same & (round_ == 0)
+
+        def possible(a, b):
+            """Whether these may be the two of a link of two components whose first common element this is."""
+            least = -(-percent * (n[a] + n[b]) // (100 + percent))  # elements in common; what stands before the first can be but few
+            return (prev[a] != prev[b]) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (i[a] <= n[a] - least) & (i[b] <= n[b] - least)
+
+        def rows(kind, **cols):
+            size = len(cols["x"])
+            for at in range(0, size, 100_000):
+                part = slice(at, min(size, at + 100_000))
+                zero = np.zeros(part.stop - at, np.int64)
+                yield batches({"kind": (zero + kind).astype(np.int32), **{c: longs(cols[c][part] if c in cols else zero) for c in _MET.names[1:]}}, _MET)
+
+        def pairs(kind, found):
+            if found:
+                a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+                a, b = x[a], x[b]
+                first = _distinct(a, b)
+                yield from rows(kind, x=a[first], y=b[first])
 
         at = np.flatnonzero(np.repeat(few, length))
         found = []
         for d in range(1, most):
             a, b = at[:-d], at[d:]
-            ok = tok[a] == tok[b]
-            if not ok.any():
+            near = tok[a] == tok[b]
+            if not near.any():
                 break
-            a, b = a[ok], b[ok]
-            ok = _possible(a, b, prev, g, n, i, percent)
+            a, b = a[near], b[near]
+            ok = possible(a, b)
             found.append((a[ok], b[ok]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = g[a], g[b]  # groups ascend within an element
-            first = _distinct(a, b)
-            yield from rows(_PAIR, a[first], h=b[first])
-
-        at = np.flatnonzero(np.repeat(many, length))
-        if not len(at):
+        yield from pairs(_PAIR, found)
+
+        found, left, needed = [], [], []
+        for s, size, is_salted in zip(start[many].tolist(), length[many].tolist(), salted[many].tolist(), strict=True):
+            run_ = np.arange(s, s + size)
+            if not is_salted and round_:
+                strangers, turned = _others(label[run_]), _others(prev[run_])
+                small = run_[min(strangers, turned, key=len)]
+                if len(small) <= FEW:
+                    # whichever pairs are possible, one of the two is in the smaller set
+                    a, b = np.repeat(small, size), np.tile(run_, len(small))
+                    ok = possible(a, b)
+                    found.append((np.where(x[a] < x[b], a, b)[ok], np.where(x[a] < x[b], b, a)[ok]))
+                    continue
+                # those like most in both are needed only if another is like them in neither
+                other = np.zeros(size, bool)
+                other[strangers] = True
+                mine = np.zeros(size, bool)
+                mine[turned] = True
+                needed.append(run_ if (other & mine).any() else run_[other | mine])
+            else:
+                needed.append(run_)
+            left.append(run_)
+        yield from pairs(_PAIR, found)
+        if not left:
             return
-        band, rank = np.floor(np.log(n[at]) * BANDS).astype(np.int64), spread(g[at])
+        at, needed = np.concatenate(left), np.concatenate(needed)
         found = []
-        for part in (band, np.zeros(len(at), np.int64)):
+        rank = spread(x[at] + np.uint64(round_))
+        for part in (np.floor(np.log(n[at]) * BANDS).astype(np.int64), np.zeros(len(at), np.int64)):
             order = np.lexsort((rank, part, tok[at]))
             u, v = tok[at][order], part[order]
             edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
             hub = np.repeat(at[order[edge]], np.diff(np.append(edge, len(at))))
             mine = at[order]
-            ok = _possible(mine, hub, prev, g, n, i, percent)
+            ok = possible(mine, hub)
             found.append((mine[ok], hub[ok]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        a, b = g[a], g[b]
-        first = _distinct(a, b)
-        yield from rows(_HUB, a[first], h=b[first])
-        yield from rows(_HELD, g[at], tok=tok[at], n=n[at], i=i[at])
+        yield from pairs(_HUB, found)
+        if round_ < rounds:
+            yield from rows(_HELD, x=np.unique(x[needed]))
+        else:
+            yield from rows(_HELD, x=x[needed], tok=tok[needed], prev=prev[needed], n=n[needed], i=i[needed])
 
     return run
 
@@ -286,7 +327,7 @@ def _near(percent: int):
             least = -(-percent * n // (100 + percent))  # elements in common
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
             ok = np.bitwise_count(x ^ y).sum(axis=1) <= n - 2 * least
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            yield b.select(["a", "b", "ra", "rb"]).filter(pa.array(ok))
 
     return run
 
@@ -313,49 +354,43 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among pairs(a, b) of classes, by their whole texts.
+def _small(spark, keys: DataFrame, rows: int) -> DataFrame:
+    """Keys to join with whole texts or prefixes: sent to all tasks where there are few."""
+    return F.broadcast(keys) if rows <= SMALL else keys
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among the written pairs (a, b, ra, rb) of classes, by the whole texts of their rows; b is the hub.
 
-    The end that is in more pairs is the hub. A hub's text is sent once for STAR partners, so that no hub's pairs meet in
-    one task. Only texts of the classes that are asked for are shuffled, if their keys are few enough to be sent to all.
+    A hub's text is sent once for STAR partners, so that no hub's pairs meet in one task. Only texts that are asked for
+    are shuffled, if their keys are few enough to be sent to all.
     """
     spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("deg")).join(classes.select("k", "r"), "k")
-    of = lambda x: ends.select(F.col("k").alias(x), F.col("deg").alias(f"d{x}"), F.col("r").alias(f"r{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    hub = F.struct("da", "a") >= F.struct("db", "b")
-    side = lambda x, y, name: F.when(hub, F.col(x)).otherwise(F.col(y)).alias(name)
-    stars = both.select(side("a", "b", "u"), side("ra", "rb", "ru"), side("b", "a", "v"), side("rb", "ra", "rv"), side("da", "db", "d"))
-    stars = cut(spark, stars.withColumn("s", F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / STAR))).drop("d"), "stars")
-    keys = stars.select(F.explode(F.array("ru", "rv")).alias("r")).distinct()
-    if 2 * stars.count() <= SMALL:
-        keys = F.broadcast(keys)
-    some = cut(spark, texts.join(keys, "r", "left_semi").groupBy("r").agg(F.first("t").alias("t")), "texts")
-    partners = stars.join(some, stars["rv"] == some["r"]).select("u", "s", "v", "t")
-    hubs = stars.select("u", "s", "ru").distinct().join(some, F.col("ru") == some["r"]).select("u", "s", F.lit(None).cast("long").alias("v"), "t")
-    rows = partners.unionByName(hubs).repartition("u", "s").sortWithinPartitions("u", "s", F.col("v").asc_nulls_first())
-    links = cut(spark, rows.mapInArrow(_verifier(width, percent), "a long, b long"), "found")
-    discard(stars, some)
-    return links
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: tuple[tuple[int, int], ...] = ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("d"), F.first("rb").alias("rb"))
+    partners = pairs.select("a", "ra", "b").join(degree.select("b", "d"), "b").select(F.col("ra").alias("r"), F.col("b").alias("u"), F.pmod(F.xxhash64("a"), "d").alias("s"), F.col("a").alias("v"))
+    hubs = degree.select(F.col("rb").alias("r"), F.col("b").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("s"), F.lit(None).cast("long").alias("v"))
+    keys = pairs.select(F.explode(F.array("ra", "rb")).alias("r"))
+    some = texts.join(_small(spark, keys, 2 * pairs.count()), "r", "left_semi").groupBy("r").agg(F.first("t").alias("t"))
+    rows = partners.union(hubs).join(some, "r").select("u", "s", "v", "t").repartition("u", "s").sortWithinPartitions("u", "s", F.col("v").asc_nulls_first())
+    return cut(spark, rows.mapInArrow(_verifier(width, percent), "a long, b long"), "found")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when 100 * common >= percent * union. Null and empty texts have no n-grams and link
     with nothing: their component is themselves. Repeated rows are copies of one another. Rows of one id
     with different texts are told apart. A null id stays null; its text links others all the same, and its component is
     the smallest id reachable, or null. Other columns are ignored; an empty table gives no rows.
-    `rounds`: how many holders of an element that many groups hold each holder is compared with, round by round, and how
-    finely those are told apart by size (bands of the sizes' logarithm; 0: not); `run`: up to how many are all compared at
-    once; `hot`: the bit length of counts from which elements are salted, at least.
+    `run`: up to how many holders of an element are all compared at once; `rounds`: how often those of others are compared
+    with hubs before the last step; `hot`: the bit length of counts from which elements are salted, at least.
     """
     sigs, parts = _parts(docs, width, percent, rounds, run, hot, id_col, text_col)
     rows = sigs.join(parts.withColumnRenamed("k", "key"), (sigs["k"] == F.col("key")) & (sigs["n"] > 0), "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _parts(docs: DataFrame, width: int, percent: int, rounds=ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run: int = RUN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, r, n, k: class, g) of all documents; and (k, label, component) of all classes, component being the
     smallest id of the label's classes."""
     spark = docs.sparkSession
@@ -366,85 +401,92 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds=ROUNDS, run: int =
     wide = cut(spark, texts.mapInArrow(_signer(width, percent, rare), "doc_id long, r long, n long, k long, g long, bits binary, pre binary"), "wide")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // POSTINGS)
     hot = max(hot, (total // CELLS).bit_length() + 3)
-    dealt = wide.filter("pre is not null").select("g", "n", "pre").mapInArrow(_dealer(4 * tasks, hot), "bucket int, posts binary")
-    met = cut(spark, dealt.repartition(tasks, "bucket").mapInArrow(_meeter(percent, hot, run), "kind int, tok long, g long, h long, n long, i long"), "met")
-    sigs = cut(spark, wide.select("doc_id", "r", "n", "k", "g"), "sigs")
-    classes = cut(spark, wide.filter("n > 0").groupBy("k", "n", "g").agg(F.min("doc_id").alias("c"), F.min("r").alias("r"), F.first("bits").alias("bits")), "classes")
-    discard(wide)
+    prefixes = wide.filter("pre is not null").select("g", "n", "pre")
+
+    def met(rows: DataFrame, n: int) -> DataFrame:
+        dealt = rows.select("x", "label", "n", "pre").mapInArrow(_dealer(4 * tasks, hot, n), "bucket int, posts binary").repartition(tasks, "bucket")
+        return cut(spark, dealt.mapInArrow(_meeter(percent, hot, run, n, rounds), _MET_SQL), "met")
 
-    # pairs of groups, each with its number of classes; a group of several classes is paired with itself
-    crowds = classes.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("h").alias("x"), "h"))), 1, 3)
-    hubs = met.filter(F.col("kind") == _HUB).groupBy("g").agg(few.alias("h")).select("g", F.explode("h.h").alias("h"))
-    pairs = met.filter(F.col("kind") == _PAIR).select("g", "h").union(hubs).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).union(crowds.select("g", F.col("g").alias("h"))).distinct()
-    pairs = pairs.join(crowds, "g", "left").withColumnRenamed("m", "mg").join(crowds.select(F.col("g").alias("h"), "m"), "h", "left")
-    groups = cut(spark, pairs.select("g", "h", (F.coalesce("mg", F.lit(1)) * F.coalesce("m", F.lit(1))).alias("m")), "groups")
-
-    def side(x: str, g: str) -> DataFrame:
-        return classes.select(F.col("g").alias(g), F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    expanded = groups.filter(F.col("m") <= run * run).join(side("a", "g"), "g").join(side("b", "h"), "h").filter("a != b")
-    # the classes of pairs of groups with many are holders of an element of their own
-    large = groups.filter(F.col("m") > run * run).select(F.xxhash64("g", "h").alias("tok"), F.explode(F.array_distinct(F.array("g", "h"))).alias("g"), F.lit(0).cast("long").alias("i"))
-    held = met.filter(F.col("kind") == _HELD).select("tok", "g", "i").union(large).join(classes.select("g", "n", F.col("k").alias("c")), "g")
-    held = cut(spark, held.select("tok", "c", "n", "i"), "held")
-
-    def compared(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
-        """pairs(a, b, na, nb, bits_a, bits_b) -> links(a, b), and the pairs that were compared; those tried before aren't again. No links where
-        all have been."""
-        near = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long")
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = cut(spark, near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if tried is not None and near.limit(1).count() == 0:
-            return None, near
-        return _verified(near, texts, classes, width, percent), near
-
-    links, tried = compared(expanded, None)
-    discard(met, groups)
-    labels, last = components(links), False
-    for i, (hubs, bands) in enumerate((*rounds, (0, 0))):
-        if last:
+    first = met(prefixes.withColumn("x", F.col("g")).withColumn("label", F.lit(None).cast("long")), 0)
+    sigs = cut(spark, wide.select("doc_id", "r", "n", "k", "g"), "sigs")
+    classes = wide.filter("n > 0").groupBy("k", "n", "g").agg(F.min("doc_id").alias("c"), F.min("r").alias("r"), F.first("bits").alias("bits"))
+    classes = cut(spark, classes, "classes")
+
+    def hubs(found: DataFrame) -> DataFrame:
+        """Pairs (x, y) of a round: all that are made at once, and of each holder a few with hubs."""
+        few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("y").alias("z"), "y"))), 1, 3)  # later steps look at the others
+        some = found.filter(F.col("kind") == _HUB).groupBy("x").agg(few.alias("y")).select("x", F.explode("y.y").alias("y"))
+        return found.filter(F.col("kind") == _PAIR).select("x", "y").union(some).distinct()
+
+    def side(e: str, by: str, of: DataFrame = classes) -> DataFrame:
+        return of.select(F.col(by).alias(f"by_{e}"), F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits_{e}"), F.col("r").alias(f"r{e}"))
+
+    def compared(pairs: DataFrame) -> DataFrame | None:
+        """pairs(a, b, na, nb, bits_a, bits_b, ra, rb) -> links(a, b); None where the filters leave no pair."""
+        near = pairs.filter(f"a != b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long, ra long, rb long")
+        near = cut(spark, near, "pairs")
+        found = None if near.limit(1).count() == 0 else _verified(near, texts, width, percent)
+        discard(near)
+        return found
+
+    # classes of a crowd, a group with several: all pairs of up to `run`; else each class with the crowd's hub, its least key
+    crowds = cut(spark, classes.groupBy("g").agg(F.count("*").alias("m"), F.min("k").alias("hub")).filter("m > 1"), "crowds")
+    big = crowds.filter(F.col("m") > run)
+    shown = classes.join(big, "g", "left").filter("hub is null or k = hub").select(*classes.columns)
+    groups = cut(spark, hubs(first).union(crowds.filter(F.col("m") <= run).select("g", F.col("g").alias("h"))), "groups")
+    expanded = groups.join(side("a", "g", shown), F.col("x") == F.col("by_a")).join(side("b", "g", shown), F.col("y") == F.col("by_b"))
+    expanded = expanded.filter("x != y or a < b").select("a", "b", "na", "nb", "bits_a", "bits_b", "ra", "rb")
+    of_hubs = side("a", "g").join(big, F.col("by_a") == F.col("g")).join(side("b", "k"), F.col("hub") == F.col("by_b")).select(*expanded.columns)
+    links = compared(expanded.union(of_hubs))
+    links = links if links is not None else spark.createDataFrame([], "a long, b long")
+    # in the last step, classes of big crowds are holders of an element for each group that theirs is paired with
+    pairs = groups.join(big.select(F.col("g").alias("x"), F.lit(1).alias("bx")), "x", "left").join(big.select(F.col("g").alias("y"), F.lit(1).alias("by")), "y", "left").filter("bx = 1 or by = 1").select("x", "y")
+    pairs = pairs.union(big.select("g", F.col("g").alias("h"))).select(F.xxhash64("x", "y").alias("tok"), F.explode(F.array_distinct(F.array("x", "y"))).alias("g"))
+    crowded = pairs.join(classes, "g").select("tok", F.col("k").alias("x"), F.col("k").alias("prev"), "n", F.lit(0).cast("long").alias("i"))
+    crowded = cut(spark, crowded, "crowded")
+    discard(groups)
+
+    labels, held = components(links), first.filter(F.col("kind") == _HELD).select("x").distinct()
+    for n in range(1, rounds + 1):
+        held = cut(spark, held, "held")
+        size = held.count()
+        if not size:
             break
-        whole = held.select("tok", "c", "n", "i").join(labels, held["c"] == labels["node"], "left").select("tok", "c", "n", "i", F.coalesce("label", "c").alias("label"))
-        split = whole.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("tok", "size")
-        whole = cut(spark, whole.join(split, "tok"), "held")
+        # holders are groups in the first round's rows, and classes from now on
+        of = classes.join(held, classes["g" if n == 1 else "k"] == held["x"], "left_semi").select("g", F.col("k").alias("x"))
+        of = of.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", "label")
+        pre = prefixes.join(_small(spark, of.select("g"), size), "g", "left_semi").groupBy("g").agg(F.first("n").alias("n"), F.first("pre").alias("pre"))
+        found = met(of.join(pre, "g"), n)
         discard(held)
-        held = whole
-        rows, squares = held.agg(F.count("*"), F.sum("size")).collect()[0]
-        if not rows:
-            break
-        if squares <= CHEAP * rows:  # so few on each element that all may be compared at once
-            last, hubs = True, 0
-        x = held.select("tok", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"), "size")
-        least = lambda na, nb: F.ceil(percent * (na + nb) / (100 + percent))
-        if hubs:
-            # one row for each holder and element, with the hubs that may be near; then a holder's hubs once each
-            band = F.floor(F.log("n") * bands)
-            chosen = held.groupBy("tok", band.alias("band")).agg(F.array(*(F.min_by(F.struct("c", "n", "i", "label"), F.xxhash64("c", F.lit(1000 * i + s))) for s in range(hubs))).alias("hubs"))
-
-            def near(h):
-                na, nb = F.col("na"), h["n"]
-                return (h["label"] != F.col("la")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least(na, nb)) & (h["i"] <= nb - least(na, nb))
-
-            some = x.withColumn("band", F.floor(F.log("na") * bands)).join(chosen, ["tok", "band"]).select("a", F.transform(F.filter("hubs", near), lambda h: F.struct(F.xxhash64(h["c"]).alias("x"), h["c"].alias("c"))).alias("b")).filter("size(b) > 0")
-            few = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("b")))), 1, 2 * hubs)  # the last step compares the others
-            pairs = some.groupBy("a").agg(few.alias("b")).select("a", F.explode("b.c").alias("b"))
+        pairs = hubs(found).join(side("a", "k"), F.col("x") == F.col("by_a")).join(side("b", "k"), F.col("y") == F.col("by_b"))
+        more = compared(pairs)
+        if more is not None:
+            links = links.union(more)
+            labels = components(links)
+        held = found.filter(F.col("kind") == _HELD)
+        if n < rounds:
+            held = held.select("x").distinct()
         else:
-            # an element's holders fall into blocks, and each pair of blocks is a key of its own
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            x = x.withColumn("p", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            x = x.select("tok", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "a", "na", "ia", "la", "p", "q")
-            y = x.select("tok", "lo", "hi", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ia").alias("ib"), F.col("la").alias("lb"), F.col("p").alias("pb"))
-            na, nb = F.col("na"), F.col("nb")
-            fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.col("ia") <= na - least(na, nb)) & (F.col("ib") <= nb - least(na, nb))
-            pairs = x.join(y, ["tok", "lo", "hi"]).filter((F.col("la") != F.col("lb")) & ((F.col("p") < F.col("pb")) | (F.col("lo") == F.col("hi")) & (F.col("a") < F.col("b"))) & fits).select("a", "b").distinct()
-        for e in "ab":
-            pairs = pairs.join(classes.select(F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits_{e}")), e)
-        found, pairs = compared(pairs, tried)
-        if found is None:
-            continue
-        tried, links = tried.union(pairs), links.union(found)
-        labels = components(links)
+            crowded = crowded.union(held.select("tok", "x", "prev", "n", "i"))
+    discard(first)
+
+    # an element's holders fall into blocks, and each pair of blocks is a key of its own
+    rows = crowded.join(labels, F.col("x") == F.col("node"), "left").select("tok", "x", "prev", "n", "i", F.coalesce("label", "x").alias("label"))
+    split = rows.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo != hi").select("tok", "blocks")
+    rows = cut(spark, rows.join(split, "tok"), "last")
+    if rows.limit(1).count():
+        rows = rows.withColumn("p", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("tok", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "x", "prev", "n", "i", "label", "p")
+        x, y = (rows.select("tok", "lo", "hi", *(F.col(c).alias(f"{c}_{e}") for c in ("x", "prev", "n", "i", "label", "p"))) for e in "ab")
+        least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+        fits = (F.col("prev_a") != F.col("prev_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("i_a") <= F.col("n_a") - least) & (F.col("i_b") <= F.col("n_b") - least)
+        once = (F.col("p_a") < F.col("p_b")) | ((F.col("lo") == F.col("hi")) & (F.col("x_a") < F.col("x_b")))
+        pairs = x.join(y, ["tok", "lo", "hi"]).filter(once & fits & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+        pairs = pairs.select(F.least("x_a", "x_b").alias("x"), F.greatest("x_a", "x_b").alias("y")).distinct()
+        more = compared(pairs.join(side("a", "k"), F.col("x") == F.col("by_a")).join(side("b", "k"), F.col("y") == F.col("by_b")))
+        if more is not None:
+            labels = components(links.union(more))
+    discard(wide)
 
     labelled = classes.select("k", "c").join(labels, F.col("k") == F.col("node"), "left").select("k", "c", F.coalesce("label", "k").alias("label"))
     least_ids = labelled.groupBy("label").agg(F.min("c").alias("component"))
