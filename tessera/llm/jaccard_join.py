@@ -35,7 +35,7 @@ SLICES = 32
 BITS = 1024  #: of a class's parity map
 RUN = 10  #: groups on one element, or classes of a group, whose pairs are all made at once
 FEW = 64  #: holders in other components, or with other elements before, that are paired with all others
-ROUNDS = 2  #: of comparisons with hubs after the first
+ROUNDS = 1  #: in which holders of common elements are dealt anew
 HOT = 14  #: bit length of an element's count from which it is salted; more, where the cells are fuller
 BANDS = 25  #: hubs are told apart by that many bands of a size's logarithm
 STAR = 32  #: texts that are compared with one copy of a hub's text
@@ -145,12 +145,16 @@ def _signer(width: int, percent: int, rare):
     return run
 
 
-_TYPES = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32)  #: element, that before it, holder, label, size, place
-_WIDTH = sum(np.dtype(t).itemsize for t in _TYPES)
+_TYPES = (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint64)  #: element, that before it, holder, size, place; label, if any
+
+
+def _columns(labelled: bool):
+    types = _TYPES if labelled else _TYPES[:-1]
+    return types, sum(np.dtype(t).itemsize for t in types)
 
 
 def _dealer(buckets: int, hot: int, seed: int):
-    """Prefixes (x: holder, label, n, pre) -> their postings as packed columns, by bucket. A null label is the holder's own."""
+    """Prefixes (x: holder, label, n, pre) -> their postings as packed columns, by bucket; without labels in round 0."""
 
     def dealt(rows):
         pres, holders, labels, sizes = zip(*rows, strict=True)
@@ -165,7 +169,7 @@ def _dealer(buckets: int, hot: int, seed: int):
         salts = np.left_shift(1, np.maximum((tok >> np.uint64(58)).astype(np.int64) - hot, 0)).astype(np.uint64)
         bucket = (spread(tok + spread(spread(x) + np.uint64(seed)) % salts) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        cols = [v[order] for v in (tok, prev, x, label, n, i)]
+        cols = [v[order] for v in ((tok, prev, x, n, i, label) if seed else (tok, prev, x, n, i))]
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         used = np.flatnonzero(edge[1:] > edge[:-1])
         return batches({"bucket": used.astype(np.int32), "posts": [b"".join(v[edge[u] : edge[u + 1]].tobytes() for v in cols) for u in used]}, _DEALT)
@@ -174,7 +178,7 @@ def _dealer(buckets: int, hot: int, seed: int):
         rows, held = [], 0
         for b in it:
             for p, x, label, n in zip(*(b.column(c).to_pylist() for c in ("pre", "x", "label", "n")), strict=True):
-                rows.append((p, x, x if label is None else label, n))
+                rows.append((p, x, 0 if label is None else label, n))
                 held += len(p) // 8
                 if held >= _FLUSH:
                     yield dealt(rows)
@@ -185,11 +189,12 @@ def _dealer(buckets: int, hot: int, seed: int):
     return run
 
 
-def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    cols = [[] for _ in _TYPES]
+def _unpacked(blobs: list[bytes], labelled: bool) -> list[np.ndarray]:
+    types, width = _columns(labelled)
+    cols = [[] for _ in types]
     for blob in blobs:
-        m, at = len(blob) // _WIDTH, 0
-        for c, t in zip(cols, _TYPES, strict=True):
+        m, at = len(blob) // width, 0
+        for c, t in zip(cols, types, strict=True):
             c.append(np.frombuffer(blob, t, m, at))
             at += m * np.dtype(t).itemsize
     return [np.concatenate(c) for c in cols]
@@ -220,7 +225,8 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
         blobs = [p for b in it for p in b.column("posts").to_pylist()]
         if not blobs:
             return
-        tok, prev, x, label, n, i = _unpacked(blobs)
+        tok, prev, x, n, i, *labels = _unpacked(blobs, round_ > 0)
+        label = labels[0] if labels else x  # at first each is alone
         blobs.clear()
         salted = (tok >> np.uint64(58)).astype(np.int64) > hot
         order = np.argsort(tok, kind="stable")
@@ -277,12 +283,16 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
             run_ = np.arange(s, s + size)
             if not is_salted and round_:
                 strangers, turned = _others(label[run_]), _others(prev[run_])
-                small = run_[min(strangers, turned, key=len)]
-                if len(small) <= FEW:
-                    # whichever pairs are possible, one of the two is in the smaller set
-                    a, b = np.repeat(small, size), np.tile(run_, len(small))
+                small = min(strangers, turned, key=len)
+                if len(small) <= (FEW if round_ == rounds else 2):
+                    # whichever pairs are possible, one of the two is in the smaller set, and is the hub
+                    inside = np.zeros(size, bool)
+                    inside[small] = True
+                    a, b = np.tile(np.arange(size), len(small)), np.repeat(small, size)
+                    ok = ~inside[a] | (a < b)
+                    a, b = run_[a[ok]], run_[b[ok]]
                     ok = possible(a, b)
-                    found.append((np.where(x[a] < x[b], a, b)[ok], np.where(x[a] < x[b], b, a)[ok]))
+                    found.append((a[ok], b[ok]))
                     continue
                 # those like most in both are needed only if another is like them in neither
                 other = np.zeros(size, bool)
@@ -298,9 +308,10 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
             return
         at, needed = np.concatenate(left), np.concatenate(needed)
         found = []
-        rank = spread(x[at] + np.uint64(round_))
+        # those with the fewest elements of their own before a common one are nearest to what all have in common
+        rank = i[at] if round_ % 2 == 0 else spread(x[at])
         for part in (np.floor(np.log(n[at]) * BANDS).astype(np.int64), np.zeros(len(at), np.int64)):
-            order = np.lexsort((rank, part, tok[at]))
+            order = np.lexsort((spread(x[at] + np.uint64(round_)), rank, part, tok[at]))
             u, v = tok[at][order], part[order]
             edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
             hub = np.repeat(at[order[edge]], np.diff(np.append(edge, len(at))))
@@ -336,12 +347,13 @@ def _verifier(width: int, percent: int):
     """Rows (u, s, v, t), sorted: a hub's text, where v is null, then the texts of its partners v. The links of those."""
 
     def run(it):
-        hub, have = None, None
+        hub, have, last = None, None, None
         for batch in it:
             a, b = [], []
             for u, s, v, x in zip(batch.column("u").to_pylist(), batch.column("s").to_pylist(), batch.column("v").to_pylist(), shingles(batch.column("t"), width), strict=True):
-                if _key(x) != (u if v is None else v) % 2**64:  # another text whose row has the same key
+                if _key(x) != (u if v is None else v) % 2**64 or (u, s, v) == last:  # another text whose row has the same key, or a repeated row
                     continue
+                last = (u, s, v)
                 if v is None:
                     hub, have = (u, s), x
                 elif hub == (u, s):
@@ -354,24 +366,22 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _small(spark, keys: DataFrame, rows: int) -> DataFrame:
-    """Keys to join with whole texts or prefixes: sent to all tasks where there are few."""
-    return F.broadcast(keys) if rows <= SMALL else keys
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among the written pairs (a, b, ra, rb) of classes, by the whole texts of their rows; b is the hub.
 
     A hub's text is sent once for STAR partners, so that no hub's pairs meet in one task. Only texts that are asked for
-    are shuffled, if their keys are few enough to be sent to all.
+    are shuffled, once, if what is asked for is small enough to be sent to all.
     """
     spark = pairs.sparkSession
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("d"), F.first("rb").alias("rb"))
     partners = pairs.select("a", "ra", "b").join(degree.select("b", "d"), "b").select(F.col("ra").alias("r"), F.col("b").alias("u"), F.pmod(F.xxhash64("a"), "d").alias("s"), F.col("a").alias("v"))
     hubs = degree.select(F.col("rb").alias("r"), F.col("b").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("s"), F.lit(None).cast("long").alias("v"))
-    keys = pairs.select(F.explode(F.array("ra", "rb")).alias("r"))
-    some = texts.join(_small(spark, keys, 2 * pairs.count()), "r", "left_semi").groupBy("r").agg(F.first("t").alias("t"))
-    rows = partners.union(hubs).join(some, "r").select("u", "s", "v", "t").repartition("u", "s").sortWithinPartitions("u", "s", F.col("v").asc_nulls_first())
+    need = partners.union(hubs)
+    if 2 * pairs.count() <= SMALL:
+        rows = texts.join(F.broadcast(need), "r")
+    else:
+        rows = need.join(texts.groupBy("r").agg(F.first("t").alias("t")), "r")
+    rows = rows.select("u", "s", "v", "t").repartition("u", "s").sortWithinPartitions("u", "s", F.col("v").asc_nulls_first())
     return cut(spark, rows.mapInArrow(_verifier(width, percent), "a long, b long"), "found")
 
 
@@ -382,8 +392,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     with nothing: their component is themselves. Repeated rows are copies of one another. Rows of one id
     with different texts are told apart. A null id stays null; its text links others all the same, and its component is
     the smallest id reachable, or null. Other columns are ignored; an empty table gives no rows.
-    `run`: up to how many holders of an element are all compared at once; `rounds`: how often those of others are compared
-    with hubs before the last step; `hot`: the bit length of counts from which elements are salted, at least.
+    `run`: up to how many holders of an element are all compared at once; `rounds`: how often holders of others are dealt
+    anew before the last step; `hot`: the bit length of counts from which elements are salted, at least.
     """
     sigs, parts = _parts(docs, width, percent, rounds, run, hot, id_col, text_col)
     rows = sigs.join(parts.withColumnRenamed("k", "key"), (sigs["k"] == F.col("key")) & (sigs["n"] > 0), "left")
@@ -414,7 +424,7 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
 
     def hubs(found: DataFrame) -> DataFrame:
         """Pairs (x, y) of a round: all that are made at once, and of each holder a few with hubs."""
-        few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("y").alias("z"), "y"))), 1, 3)  # later steps look at the others
+        few = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("y").alias("z"), "y"))), 1, 2)  # later steps look at the others
         some = found.filter(F.col("kind") == _HUB).groupBy("x").agg(few.alias("y")).select("x", F.explode("y.y").alias("y"))
         return found.filter(F.col("kind") == _PAIR).select("x", "y").union(some).distinct()
 
@@ -422,12 +432,12 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
         return of.select(F.col(by).alias(f"by_{e}"), F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits_{e}"), F.col("r").alias(f"r{e}"))
 
     def compared(pairs: DataFrame) -> DataFrame | None:
-        """pairs(a, b, na, nb, bits_a, bits_b, ra, rb) -> links(a, b); None where the filters leave no pair."""
+        """pairs(a, b, na, nb, bits_a, bits_b, ra, rb) -> links(a, b); None where there is none."""
         near = pairs.filter(f"a != b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long, ra long, rb long")
         near = cut(spark, near, "pairs")
         found = None if near.limit(1).count() == 0 else _verified(near, texts, width, percent)
         discard(near)
-        return found
+        return None if found is None or found.limit(1).count() == 0 else found
 
     # classes of a crowd, a group with several: all pairs of up to `run`; else each class with the crowd's hub, its least key
     crowds = cut(spark, classes.groupBy("g").agg(F.count("*").alias("m"), F.min("k").alias("hub")).filter("m > 1"), "crowds")
@@ -455,8 +465,8 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
         # holders are groups in the first round's rows, and classes from now on
         of = classes.join(held, classes["g" if n == 1 else "k"] == held["x"], "left_semi").select("g", F.col("k").alias("x"))
         of = of.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", "label")
-        pre = prefixes.join(_small(spark, of.select("g"), size), "g", "left_semi").groupBy("g").agg(F.first("n").alias("n"), F.first("pre").alias("pre"))
-        found = met(of.join(pre, "g"), n)
+        # a prefix that several tasks wrote is dealt as often, and counts once where it meets others
+        found = met(prefixes.join(F.broadcast(of) if size <= SMALL else of, "g").withColumn("label", F.coalesce("label", "x")), n)
         discard(held)
         pairs = hubs(found).join(side("a", "k"), F.col("x") == F.col("by_a")).join(side("b", "k"), F.col("y") == F.col("by_b"))
         more = compared(pairs)
