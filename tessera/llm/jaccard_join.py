@@ -31,6 +31,7 @@ from ._shared import ROLL, batches, bounded_batches, cut, discard, hashed_words,
 from .components import components
 
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
+MAP = 1 << 23  #: bits of a map of elements
 SLICES = 32
 BITS = 1024  #: of a class's parity map
 RUN = 10  #: groups on one element, or classes of a group, whose pairs are all made at once
@@ -50,7 +51,7 @@ _SLICE = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("posts", pa.binary())])
 _MET = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("tok", pa.int64()), ("prev", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 _MET_SQL = "kind int, x long, y long, tok long, prev long, n long, i long"
-_PAIR, _HUB, _HELD = 0, 1, 2  #: kinds of rows: a pair, a holder and its hub, a holder of an element with many
+_PAIR, _HUB, _HELD, _OPEN = 0, 1, 2, 3  #: kinds of rows: a pair, a holder and its hub, a holder of an element with many, and that element
 
 
 def _of_words(x: np.ndarray, width: int) -> np.ndarray:
@@ -153,8 +154,38 @@ def _columns(labelled: bool):
     return types, sum(np.dtype(t).itemsize for t in types)
 
 
-def _dealer(buckets: int, hot: int, seed: int):
-    """Prefixes (x: holder, label, n, pre) -> their postings as packed columns, by bucket; without labels in round 0."""
+def _mapper(it):
+    """Elements x -> a map of MAP bits in which each has one, in slices."""
+    out = np.zeros(MAP, bool)
+    for b in it:
+        out[(spread(b.column("x").to_numpy().view(np.uint64)) % np.uint64(MAP)).astype(np.int64)] = True
+    yield batches({"slice": list(range(SLICES)), "counts": [np.packbits(p).tobytes() for p in out.reshape(SLICES, -1)]}, _SLICE)
+
+
+def _either(it):
+    total: dict[int, np.ndarray] = {}
+    for b in it:
+        for s, c in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            a = np.frombuffer(c, np.uint8)
+            total[s] = total[s] | a if s in total else a
+    if total:
+        yield batches({"slice": list(total), "counts": [a.tobytes() for a in total.values()]}, _SLICE)
+
+
+def _open(elements: DataFrame) -> bytes:
+    """The map of the elements x, of MAP bits however many they are; a fuller one only rules out less."""
+    rows = elements.mapInArrow(_mapper, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_either, "slice int, counts binary").collect()
+    out = np.zeros((SLICES, MAP // 8 // SLICES), np.uint8)
+    for r in rows:
+        out[r["slice"]] |= np.frombuffer(r["counts"], np.uint8)
+    return out.tobytes()
+
+
+def _dealer(buckets: int, hot: int, seed: int, wanted=None):
+    """Prefixes (x: holder, label, n, pre) -> their postings as packed columns, by bucket; without labels in round 0.
+
+    `wanted`: a map of elements; others are left out, unless they are salted.
+    """
 
     def dealt(rows):
         pres, holders, labels, sizes = zip(*rows, strict=True)
@@ -165,6 +196,10 @@ def _dealer(buckets: int, hot: int, seed: int):
         i = (np.arange(len(tok)) - np.repeat(first, length)).astype(np.uint32)
         prev = np.concatenate([tok[:1], tok[:-1]])
         prev[first] = spread(x[first])  # nothing stands before the first, which is never the same
+        if wanted is not None:
+            bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+            keep = bits[(spread(tok) % np.uint64(MAP)).astype(np.int64)] | ((tok >> np.uint64(58)).astype(np.int64) > hot)
+            tok, prev, x, label, n, i = (v[keep] for v in (tok, prev, x, label, n, i))
         # an element that up to 2**bits groups hold goes to one bucket for each 2**hot of them
         salts = np.left_shift(1, np.maximum((tok >> np.uint64(58)).astype(np.int64) - hot, 0)).astype(np.uint64)
         bucket = (spread(tok + spread(spread(x) + np.uint64(seed)) % salts) % np.uint64(buckets)).astype(np.int32)
@@ -209,6 +244,20 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])]
 
 
+def _partnered(run: np.ndarray, n: np.ndarray, i: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows may have a partner of their run by size and place: the smallest that is large enough allows most."""
+    order = np.lexsort((n, run))
+    key, size, place = (run[order].astype(np.int64) << 32) + n[order], n[order], i[order]
+    base = key - size
+    lo = np.searchsorted(key, base - (-percent * size // 100), "left")
+    hi = np.searchsorted(key, base + 100 * size // percent, "right")
+    at = np.where(lo == np.arange(len(key)), lo + 1, lo)  # another than itself
+    least = -(-percent * (size + size[np.minimum(at, len(key) - 1)]) // (100 + percent))
+    out = np.zeros(len(n), bool)
+    out[order] = (at < hi) & (place <= size - least)
+    return out
+
+
 def _others(values: np.ndarray) -> np.ndarray:
     """Places of the values that aren't the most frequent one."""
     u, back, n = np.unique(values, return_inverse=True, return_counts=True)
@@ -218,7 +267,8 @@ def _others(values: np.ndarray) -> np.ndarray:
 def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
     """Packed postings -> pairs of holders, holders with hubs, and holders that later rounds look at.
 
-    Round 0 makes all pairs on an element of up to `most` holders; others are left to later rounds.
+    All pairs are made on an element of up to `most` holders, or with few that differ from the others; the rest is left to
+    later rounds.
     """
 
     def run(it):
@@ -245,7 +295,7 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
         same = np.minimum.reduceat(prev, start) == np.maximum.reduceat(prev, start)
         same |= np.minimum.reduceat(label, start) == np.maximum.reduceat(label, start)
         many = salted | (length > most) & ~same
-        few = ~salted & (length > 1) & (length <= most) & ~same & (round_ == 0)
+        few = ~salted & (length > 1) & (length <= most) & ~same
 
         def possible(a, b):
             """Whether these may be the two of a link of two components whose first common element this is."""
@@ -278,9 +328,15 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
             found.append((a[ok], b[ok]))
         yield from pairs(_PAIR, found)
 
+        at = np.flatnonzero(np.repeat(many & ~salted, length))
+        useful = np.ones(len(tok), bool)
+        useful[at] = _partnered(np.repeat(np.arange(len(start)), length)[at], n[at], i[at], percent)
         found, left, needed = [], [], []
         for s, size, is_salted in zip(start[many].tolist(), length[many].tolist(), salted[many].tolist(), strict=True):
-            run_ = np.arange(s, s + size)
+            run_ = s + np.flatnonzero(useful[s : s + size])
+            size = len(run_)
+            if size < 2 and not is_salted:
+                continue
             if not is_salted and round_:
                 strangers, turned = _others(label[run_]), _others(prev[run_])
                 small = min(strangers, turned, key=len)
@@ -321,6 +377,7 @@ def _meeter(percent: int, hot: int, most: int, round_: int, rounds: int):
         yield from pairs(_HUB, found)
         if round_ < rounds:
             yield from rows(_HELD, x=np.unique(x[needed]))
+            yield from rows(_OPEN, x=np.unique(tok[at]))
         else:
             yield from rows(_HELD, x=x[needed], tok=tok[needed], prev=prev[needed], n=n[needed], i=i[needed])
 
@@ -413,8 +470,8 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
     hot = max(hot, (total // CELLS).bit_length() + 3)
     prefixes = wide.filter("pre is not null").select("g", "n", "pre")
 
-    def met(rows: DataFrame, n: int) -> DataFrame:
-        dealt = rows.select("x", "label", "n", "pre").mapInArrow(_dealer(4 * tasks, hot, n), "bucket int, posts binary").repartition(tasks, "bucket")
+    def met(rows: DataFrame, n: int, wanted=None) -> DataFrame:
+        dealt = rows.select("x", "label", "n", "pre").mapInArrow(_dealer(4 * tasks, hot, n, wanted), "bucket int, posts binary").repartition(tasks, "bucket")
         return cut(spark, dealt.mapInArrow(_meeter(percent, hot, run, n, rounds), _MET_SQL), "met")
 
     first = met(prefixes.withColumn("x", F.col("g")).withColumn("label", F.lit(None).cast("long")), 0)
@@ -431,12 +488,21 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
     def side(e: str, by: str, of: DataFrame = classes) -> DataFrame:
         return of.select(F.col(by).alias(f"by_{e}"), F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits_{e}"), F.col("r").alias(f"r{e}"))
 
+    tried: list[DataFrame] = []
+
     def compared(pairs: DataFrame) -> DataFrame | None:
-        """pairs(a, b, na, nb, bits_a, bits_b, ra, rb) -> links(a, b); None where there is none."""
+        """pairs(a, b, na, nb, bits_a, bits_b, ra, rb) -> links(a, b); None where there is none.
+
+        Pairs of the first step, which are most, aren't compared again."""
         near = pairs.filter(f"a != b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near(percent), "a long, b long, ra long, rb long")
+        if tried:
+            near = near.join(tried[0].select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), F.expr("least(a, b) = p and greatest(a, b) = q"), "left_anti")
         near = cut(spark, near, "pairs")
         found = None if near.limit(1).count() == 0 else _verified(near, texts, width, percent)
-        discard(near)
+        if tried:
+            discard(near)
+        else:
+            tried.append(near)
         return None if found is None or found.limit(1).count() == 0 else found
 
     # classes of a crowd, a group with several: all pairs of up to `run`; else each class with the crowd's hub, its least key
@@ -457,6 +523,7 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
     discard(groups)
 
     labels, held = components(links), first.filter(F.col("kind") == _HELD).select("x").distinct()
+    wanted = spark.sparkContext.broadcast(_open(first.filter(F.col("kind") == _OPEN).select("x")))
     for n in range(1, rounds + 1):
         held = cut(spark, held, "held")
         size = held.count()
@@ -466,7 +533,7 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
         of = classes.join(held, classes["g" if n == 1 else "k"] == held["x"], "left_semi").select("g", F.col("k").alias("x"))
         of = of.join(labels, F.col("x") == F.col("node"), "left").select("g", "x", "label")
         # a prefix that several tasks wrote is dealt as often, and counts once where it meets others
-        found = met(prefixes.join(F.broadcast(of) if size <= SMALL else of, "g").withColumn("label", F.coalesce("label", "x")), n)
+        found = met(prefixes.join(F.broadcast(of) if size <= SMALL else of, "g").withColumn("label", F.coalesce("label", "x")), n, wanted)
         discard(held)
         pairs = hubs(found).join(side("a", "k"), F.col("x") == F.col("by_a")).join(side("b", "k"), F.col("y") == F.col("by_b"))
         more = compared(pairs)
@@ -476,6 +543,7 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
         held = found.filter(F.col("kind") == _HELD)
         if n < rounds:
             held = held.select("x").distinct()
+            wanted = spark.sparkContext.broadcast(_open(found.filter(F.col("kind") == _OPEN).select("x")))
         else:
             crowded = crowded.union(held.select("tok", "x", "prev", "n", "i"))
     discard(first)
@@ -496,7 +564,7 @@ def _parts(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS, run:
         more = compared(pairs.join(side("a", "k"), F.col("x") == F.col("by_a")).join(side("b", "k"), F.col("y") == F.col("by_b")))
         if more is not None:
             labels = components(links.union(more))
-    discard(wide)
+    discard(wide, *tried)
 
     labelled = classes.select("k", "c").join(labels, F.col("k") == F.col("node"), "left").select("k", "c", F.coalesce("label", "k").alias("label"))
     least_ids = labelled.groupBy("label").agg(F.min("c").alias("component"))
