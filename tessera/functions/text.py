@@ -126,8 +126,8 @@ def arity(sig: Column) -> Column:
 
 
 def doc_proximity(all_lines: Column, start: Column) -> Column:
-    """Lines up from a declaration (1-based) to a doc comment, over at most 8 blank ones; else null."""
-    above = F.reverse(F.transform(F.slice(all_lines, F.greatest(start - 9, F.lit(1)), F.least(start - 1, F.lit(9))), trim_space))
+    """Lines up from a declaration (1-based) to a doc comment, among the 8 above; else null."""
+    above = F.reverse(F.transform(F.slice(all_lines, F.greatest(start - 8, F.lit(1)), F.least(start - 1, F.lit(8))), trim_space))
     at = F.array_position(F.transform(above, lambda x: x != ""), True).cast("int")
     first = F.try_element_at(above, at)
     mark = reduce(lambda a, b: a | b, (first.startswith(p) for p in ("///", "//!", "/**", "*", "##", '"""', "'''")))

@@ -1,7 +1,6 @@
 """Hybrid reranking of a query's candidates: scores, gate, cutoff and diversity, in one plan.
 
-Candidates of one query are bounded by the over-fetch (120 rows), so windows over all of them are small;
-`partition` names columns that tell several queries' candidates apart.
+Candidates of one query are bounded by the over-fetch (120 rows), so windows over all of them are small.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ def _any(term: Column, text: Column) -> Column:
 
 
 def lexical_hits(t: Column, path: Column, content: Column) -> Column:
-    text = ascii_lower(F.concat(path, F.lit("\n"), content))
-    return F.size(F.filter(t, lambda v: _any(v, text)))
+    """How many terms a candidate's path or content holds; the text is lowered once."""
+    text = F.array(ascii_lower(F.concat(path, F.lit("\n"), content)))
+    return F.element_at(F.transform(text, lambda x: F.size(F.filter(t, lambda v: _any(v, x)))), 1)
 
 
 def ratio(hits: Column, t: Column) -> Column:

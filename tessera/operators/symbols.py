@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import arity, doc_proximity, lines, signature, visibility
+from ..functions.text import arity, doc_proximity, lines, signature, trim_space, visibility
 from ..schema import content_hash
 
 LEAST, MOST = 50, 8000
@@ -82,7 +82,7 @@ def _spans(batches):
 def symbol_chunks(files: DataFrame) -> DataFrame:
     """files(file_path, content, language) -> chunk rows with symbol metadata, of LEAST to MOST bytes.
 
-    Longer ones are cut into line windows by the adaptive plan; null contents count as empty.
+    Longer ones, and texts, are cut into line windows by the adaptive plan; null contents count as empty.
     """
     from .chunk import adaptive_plan
 
@@ -90,11 +90,11 @@ def symbol_chunks(files: DataFrame) -> DataFrame:
     found = ready.mapInPandas(_spans, "file_path string, content string, start_line int, end_line int, language string, symbol_name string, symbol_kind string, whole string")
     sig = signature(F.col("content"))
     meta = found.withColumn("signature_fragment", sig).withColumns({"visibility": visibility(F.col("signature_fragment")), "arity": arity(F.col("signature_fragment")), "doc_comment_proximity": doc_proximity(lines(F.col("whole")), F.col("start_line"))}).drop("whole")
-    long = F.octet_length("content") > MOST
+    long = (F.octet_length("content") > MOST) | (F.col("language") == "text")
     all_lines = lines(F.col("content"))
-    size, over = adaptive_plan(all_lines, F.col("symbol_kind"), F.col("arity"))
-    cut = meta.withColumns({"__l": all_lines, "__s": F.when(long, size).otherwise(F.size(all_lines)), "__o": F.when(long, over).otherwise(0)}).filter("__s > 0")
+    cut = meta.withColumns({"__l": all_lines, "__p": F.when(long, adaptive_plan(all_lines, F.col("symbol_kind"), F.col("arity")))})
+    cut = cut.withColumns({"__s": F.coalesce("__p.size", F.size("__l")), "__o": F.coalesce("__p.overlap", F.lit(0))}).drop("__p").filter("__s > 0")
     step = F.greatest(F.col("__s") - F.col("__o"), F.lit(1))
     cut = cut.withColumn("__i", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.size("__l") - F.col("__s"), F.lit(0)) / step).cast("int")))).withColumn("__a", (F.col("__i") * step).cast("int"))
     cut = cut.withColumns({"content": F.array_join(F.slice("__l", F.col("__a") + 1, F.col("__s")), "\n"), "end_line": (F.col("start_line") + F.least(F.col("__a") + F.col("__s"), F.size("__l")) - 1).cast("int"), "start_line": (F.col("start_line") + F.col("__a")).cast("int")})
-    return cut.drop("__l", "__s", "__o", "__i", "__a").filter(F.octet_length(F.trim("content")) >= LEAST).withColumn("content_hash", content_hash("content"))
+    return cut.drop("__l", "__s", "__o", "__i", "__a").filter(F.octet_length(trim_space(F.col("content"))) >= LEAST).withColumn("content_hash", content_hash("content"))

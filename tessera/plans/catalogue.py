@@ -62,11 +62,11 @@ def content_hash_copies(spark, sf_dir):
 
 
 def term_variants(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.concat(F.lit("where is the database init model classes "), F.left("text", F.lit(0))))).alias("v")).select("item_id", F.array_join("v", " ").alias("variants"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("v")).select("item_id", F.array_join("v", " ").alias("variants"))
 
 
 def text_term_variants(spark, sf_dir):
-    """term_variants over whole texts, behind the same phrase."""
+    """term_variants behind a phrase of terms with aliases."""
     t = T.terms(F.concat(F.lit("where is the database init model classes "), F.col("text")))
     return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(t).alias("v")).select("item_id", F.array_join("v", " ").alias("variants"))
 
@@ -80,7 +80,7 @@ def intent_and_gate(spark, sf_dir):
 def lexical_score(spark, sf_dir):
     t = T.terms(F.lit("the token from thanea"))
     hits = rerank.lexical_hits(t, F.col("source"), F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", hits.alias("matched"), F.round(rerank.ratio(hits, t), 6).alias("lexical"))
+    return _t(spark, sf_dir, "documents").select("doc_id", hits.alias("matched")).withColumn("lexical", F.round(rerank.ratio(F.col("matched"), t), 6))
 
 
 def diverse_topk(spark, sf_dir):
@@ -102,7 +102,8 @@ def replace_current_view(spark, sf_dir):
 
 def changed_files(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"))
-    return store.changed(docs, docs.filter("cast(file_path as long) % 3 != 0"))
+    # all files are known, a third of them with another hash
+    return store.changed(docs, docs.withColumn("content_hash", F.when(F.col("file_path").cast("long") % 3 == 0, F.concat(F.lit("old"), "content_hash")).otherwise(F.col("content_hash"))))
 
 
 def debounce_events(spark, sf_dir):
@@ -136,7 +137,7 @@ def embedding_batches(spark, sf_dir):
 
 
 def hashed_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(embed.hashed_counts(F.concat(F.lit("alpha beta "), F.col("item_id").cast("string")), 8), ",").alias("counts"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(embed.hashed_counts(F.col("text"), 8), ",").alias("counts"))
 
 
 def signature_metadata(spark, sf_dir):
@@ -261,6 +262,14 @@ def _tokens(text: str, keep: str, ordered: bool = True) -> str:
 
 _STOP = "{0} NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _ALIASES = ", ".join(f"('{k}', {v})" for k, v in T.ALIASES.items())
+
+
+def _variants(text: str) -> str:
+    return f"""WITH t AS (SELECT item_id, unnest({_tokens(text, _STOP, False)}) AS w FROM benchmark),
+      a(k, v) AS (VALUES {_ALIASES})
+      SELECT item_id, array_to_string(list_sort(list_distinct(list_concat([w], CASE WHEN w LIKE '%s' AND strlen(w) > 3 THEN [rtrim(w, 's')] ELSE [] END, coalesce(v, [])))), ' ') AS variants FROM t LEFT JOIN a ON w = k"""
+
+
 _SNIPPET = f"""m AS (SELECT *, l[coalesce(list_position(list_transform(l, lambda x: x <> ''), true), len(l) + 1) :] AS f FROM (SELECT *, {_LINES.format('text')} AS l FROM documents)),
     k AS (SELECT *, len(list_filter(range(1, len(f) + 1), lambda i: list_sum(list_transform(f[1 : i], lambda x: length(x))) + i - 1 <= 260)) AS n FROM m),
     s AS (SELECT *, CASE WHEN length(text) <= 260 THEN text ELSE CASE WHEN n = 0 THEN left(text, 260) ELSE array_to_string(f[1 : n], chr(10)) END || CASE WHEN len(f) > n
@@ -275,10 +284,8 @@ ORACLE_SQL = {
     "line_chunks_fixed": _chunks(False),
     "line_chunks_adaptive": _chunks(True),
     "content_hash_copies": "SELECT substr(sha256(text), 1, 16) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1",
-    "term_variants": "SELECT item_id, v AS variants FROM benchmark, (VALUES ('where'), ('database db mysql postgres sql sqlite'), ('bootstrap init initialize setup'), ('entity model models record'), ('classe classes')) t(v)",
-    "text_term_variants": f"""WITH t AS (SELECT item_id, unnest({_tokens("('where is the database init model classes ' || text)", _STOP, False)}) AS w FROM benchmark),
-      a(k, v) AS (VALUES {_ALIASES})
-      SELECT item_id, array_to_string(list_sort(list_distinct(list_concat([w], CASE WHEN w LIKE '%s' AND strlen(w) > 3 THEN [rtrim(w, 's')] ELSE [] END, coalesce(v, [])))), ' ') AS variants FROM t LEFT JOIN a ON w = k""",
+    "term_variants": _variants("text"),
+    "text_term_variants": _variants("('where is the database init model classes ' || text)"),
     "intent_and_gate": f"SELECT conv_id, turn, intent, CASE intent WHEN 'usage_lookup' THEN 0.90 WHEN 'architecture_lookup' THEN 1.00 WHEN 'symbol_lookup' THEN 0.85 ELSE 0.95 END::DOUBLE AS gate FROM (SELECT conv_id, turn, CASE WHEN {_any(T.USAGE, 'x')} THEN 'usage_lookup' WHEN {_any(T.ARCHITECTURE, 'x')} THEN 'architecture_lookup' WHEN {_any(T.SYMBOL, 'x')} THEN 'symbol_lookup' ELSE 'exploratory' END AS intent FROM (SELECT conv_id, turn, {_LOWER.format('text')} AS x FROM conversations))",
     "lexical_score": f"SELECT doc_id, matched, round(matched / 2.0, 6)::DOUBLE AS lexical FROM (SELECT doc_id, ((contains(x, 'token') OR contains(x, 'jwt') OR contains(x, 'bearer') OR contains(x, 'sanctum'))::INT + contains(x, 'thanea')::INT)::INT AS matched FROM (SELECT doc_id, {_LOWER.format('source || chr(10) || text')} AS x FROM documents))",
     "diverse_topk": "SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) ORDER BY r > 1, n_chars DESC, doc_id LIMIT 30",
@@ -292,7 +299,7 @@ ORACLE_SQL = {
     "quality_gates": "SELECT * FROM (VALUES ('recall_at_k', 'minimum', 0.7::DOUBLE, 0.8::DOUBLE), ('duplicate_rate', 'maximum', 0.05, 0.04), ('recall_at_k', 'regression', 0.7, 0.75), ('duplicate_rate', 'regression', 0.05, 0.02)) t(metric, rule, value, bound)",
     "metric_delta": "SELECT * FROM (VALUES ('recall_at_k', 'regressed', '-0.050'), ('precision_at_k', 'flat', '+0.000'), ('mrr_at_k', 'improved', '+0.020'), ('ndcg_at_k', 'flat', '+0.000'), ('no_result_rate', 'flat', '+0.000'), ('duplicate_rate', 'regressed', '+0.030')) t(metric, trend, text)",
     "embedding_batches": "SELECT source, batch, count(*) AS size FROM (SELECT source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 24)::BIGINT AS batch FROM documents) GROUP BY ALL",
-    "hashed_counts": "SELECT item_id, array_to_string(list_transform(range(8), lambda b: len(list_filter(list_filter(['alpha', 'beta', item_id::VARCHAR], lambda t: length(t) >= 2), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 8 = b))), ',') AS counts FROM benchmark",
+    "hashed_counts": f"WITH t AS (SELECT item_id, {_tokens('text', 'true', False)} AS w FROM benchmark) SELECT item_id, array_to_string(list_transform(range(8), lambda b: len(list_filter(w, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 8 = b))), ',') AS counts FROM t",
     "signature_metadata": "SELECT item_id, 'pub fn run_' || item_id || '(a: u8, &self, b: u8) -> u8' AS signature, 'public' AS visibility, 2 AS arity FROM benchmark",
     "preview_snippets": f"WITH {_SNIPPET} SELECT doc_id, preview FROM s",
     "result_text": f"WITH {_SNIPPET} SELECT doc_id, 'File: ' || source || '/' || doc_id || '.txt' || chr(10) || 'Lines: 1-9' || chr(10) || 'Symbol: ' || CASE WHEN doc_id > 9 THEN doc_id::VARCHAR ELSE '(none detected)' END || ' ((unknown))' || chr(10) || 'Code:' || chr(10) || preview AS shown FROM s",

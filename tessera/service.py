@@ -13,7 +13,6 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any, TextIO
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -71,7 +70,7 @@ def wants_debug(args: dict) -> bool:
 def path_of(text: str) -> str | None:
     """A path or file:// URI as a path; None where it is blank."""
     text = text.strip()
-    return (unquote(text[7:]) if text.startswith("file://") else text) or None
+    return (text[7:].replace("%20", " ") if text.startswith("file://") else text) or None
 
 
 def roots_in(value: Any) -> list[str]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +95,7 @@ def workspace_roots(file: str | None, here: str) -> list[str]:
     for folder in json.loads(Path(file).read_text()).get("folders", []):
         name = folder.get("path") or folder.get("uri") or ""
         if name.startswith("file://"):
-            name = unquote(name[7:])
+            name = name[7:].replace("%20", " ")
         elif "://" in name or not name:
             continue
         path = (base / name).resolve()

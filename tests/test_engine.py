@@ -43,6 +43,14 @@ def test_symbol_chunks(spark):
     assert got == {("a.rs", "first"): ("method", 2, 0), ("a.rs", "second"): ("method", 5, 0), ("b.py", "load"): ("function", 4, 2)}
 
 
+def test_text_chunks_and_doc_comments(spark):
+    notes = "\n".join(f"line {i} of the file" for i in range(70))
+    rows = spark.createDataFrame([("notes.txt", notes, "text")], "file_path string, content string, language string")
+    assert sorted((r.start_line, r.end_line) for r in symbols.symbol_chunks(rows).collect()) == [(1, 50), (41, 70)]
+    above = lambda n: one(spark, T.doc_proximity(F.array(F.lit("/// reads"), *[F.lit("")] * n, F.lit("fn x()")), F.lit(n + 2)))
+    assert (above(0), above(7), above(8)) == (1, 8, None)
+
+
 def test_diverse_is_the_greedy_choice(spark):
     rng = random.Random(5)
     rows = [(i, f"f{rng.randrange(4)}", rng.random()) for i in range(20)]
