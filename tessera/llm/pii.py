@@ -29,9 +29,10 @@ FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Mar
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra"
 _SECRET = "password|passwd|passwort|secret|token|api_key|apikey|access_key"
 
-#: Kind -> pattern, in the order in which they are tried. All start where no letter or digit stands before.
+#: Kind -> pattern, in the order in which they are tried. All start where no letter or digit stands before. None repeats a
+#: group without bound, which would take a stack frame for each turn; parts of an address have the lengths that mail allows.
 PATTERNS = {
-    "email": r"[\p{L}\d_][\p{L}\d._%+-]*@[\p{L}\d-]+(?:\.[\p{L}\d-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\d_][\p{L}\d._%+-]{0,63}@[\p{L}\d-][\p{L}\d.-]{0,253}\.\p{L}{2,63}",
     "hex": r"[0-9a-fA-F]{32,}(?![\p{L}\d])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "card": r"\d{4}(?:[ -]?\d{4}){3}(?!\d)",
@@ -42,7 +43,7 @@ PATTERNS = {
     "secret": rf"(?<=(?i:{_SECRET})[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)[A-Za-z0-9+/_.~-]{{6,}}",
     "person": rf"(?:(?:(?:{_TITLES})\.? ){{1,3}}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{'|'.join(MALE + FEMALE)}) \p{{Lu}}[\p{{L}}'-]+)",
 }
-_ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(])(?:" + "|".join(PATTERNS.values())
+_ANY = r"(?<![\p{L}\d])(?=[\p{L}\d_+(/])(?:" + "|".join(PATTERNS.values())
 ANY = _ANY + ")"
 _TITLE = rf"(?:(?:{_TITLES})\.? ){{0,3}}"
 _ENDING = r"('s|['-]+)$"  #: after a surname, not part of it
@@ -115,7 +116,7 @@ def surrogates(entities: Column, key: str, known: Column) -> Column:
         digits = F.regexp_replace(e, r"\D", "")
         before = F.when(kind == "phone", F.regexp_extract(e, r"^(\+\d{1,3})", 1)).when(kind == "card", F.substr(e, F.lit(1), F.lit(1))).when(kind == "iban", F.substr(e, F.lit(1), F.lit(2))).when(kind == "aws", F.substr(e, F.lit(1), F.lit(4)))
         before = before.when(kind == "person", F.regexp_extract(e, rf"^({_TITLE}(?:(?:{'|'.join(MALE + FEMALE)}) )?)", 1)).otherwise("")
-        after = F.when(kind == "email", F.regexp_extract(e, r"((?:\.example)?\.\p{L}{2,})$", 1)).when(kind == "card", F.substr(e, F.length(e), F.lit(1))).when(kind == "person", F.regexp_extract(e, _ENDING, 1)).otherwise("")
+        after = F.when(kind == "email", F.regexp_extract(e, r"(\.\p{L}{2,})$", 1)).when(kind == "card", F.substr(e, F.length(e), F.lit(1))).when(kind == "person", F.regexp_extract(e, _ENDING, 1)).otherwise("")
         octets = F.array_join(F.transform(F.split(e, r"\."), lambda o: F.substr(F.lit(_OCTETS[0]), o.cast("int") + 1, F.lit(1))), "")
         between = lambda p: F.substr(e, F.length(p["head"]) + 1, F.length(e) - F.length(p["head"]) - F.length(p["tail"]))
         given = lambda p: F.when(kind == "person", F.regexp_extract(between(p), r"^(.*) ", 1)).otherwise("")
@@ -164,17 +165,21 @@ def replace_pii(docs: DataFrame, key: str = "tessera", text_col: str = "text") -
     Null text stays null with an empty array; texts without entities are unchanged; rows are independent, so
     repeated rows and empty tables need nothing special. Columns of docs named pii or n_collisions are replaced.
     """
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = {n: prefix + n for n in ("e", "n", "any", "p")}
     rest = [c for c in docs.columns if c not in (text_col, "pii", "n_collisions")]
     text = F.col(text_col)
-    found = docs.select(*rest, text_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("__e")).withColumn("__n", surnames(F.col("__e")))
-    found = found.withColumn("__any", F.when(F.size("__n") > 0, F.concat(F.lit(_ANY + "|(?:"), F.array_join("__n", "|"), F.lit(r")(?![\p{L}\d]))"))).otherwise(ANY))
-    found = found.withColumn("__e", F.when(F.size("__n") > 0, F.regexp_extract_all(text, F.col("__any"), F.lit(0))).otherwise(F.col("__e")))
-    made = found.withColumn("__p", F.when(F.size("__e") > 0, surrogates(F.col("__e"), key, F.col("__n"))))
-    pii = F.coalesce(F.col("__p"), F.array().cast("array<struct<kind:string,original:string,surrogate:string>>"))
-    whole = F.array_join(F.zip_with(F.split(text, F.col("__any")), F.transform("__p", lambda p: p["surrogate"]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    found = docs.select(*rest, text_col, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias(own["e"])).withColumn(own["n"], surnames(F.col(own["e"])))
+    found = found.withColumn(own["any"], F.when(F.size(own["n"]) > 0, F.concat(F.lit(_ANY + "|(?:"), F.array_join(own["n"], "|"), F.lit(r")(?![\p{L}\d]))"))).otherwise(ANY))
+    found = found.withColumn(own["e"], F.when(F.size(own["n"]) > 0, F.regexp_extract_all(text, F.col(own["any"]), F.lit(0))).otherwise(F.col(own["e"])))
+    made = found.withColumn(own["p"], F.when(F.size(own["e"]) > 0, surrogates(F.col(own["e"]), key, F.col(own["n"]))))
+    pii = F.coalesce(F.col(own["p"]), F.array().cast("array<struct<kind:string,original:string,surrogate:string>>"))
+    whole = F.array_join(F.zip_with(F.split(text, F.col(own["any"])), F.transform(own["p"], lambda p: p["surrogate"]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
     originals, replaced = F.array_distinct(F.transform(pii, lambda p: p["original"])), F.array_distinct(F.transform(pii, lambda p: p["surrogate"]))
     clash = F.size(originals) - F.size(replaced) + F.size(F.array_intersect(originals, replaced))
-    out = made.select(*rest, F.when(F.size("__e") > 0, whole).otherwise(text).alias(text_col), pii.alias("pii"), F.when(F.size(pii) > 0, clash).otherwise(0).alias("n_collisions"))
+    out = made.select(*rest, F.when(F.size(own["e"]) > 0, whole).otherwise(text).alias(text_col), pii.alias("pii"), F.when(F.size(pii) > 0, clash).otherwise(0).alias("n_collisions"))
     return out.select(*[c for c in docs.columns if c in out.columns and c not in ("pii", "n_collisions")], "pii", "n_collisions")
 
 
