@@ -276,7 +276,8 @@ def read_captures(wanted: DataFrame, files: list[tuple[str, int, str]]) -> DataF
     bounded_batches(spark, 500)
     keys = wanted.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("cid")).mapInArrow(_keyed, "key string, cid long").distinct()
     places = keys.repartitionByRange("key", "cid").sortWithinPartitions("key", "cid").mapInArrow(_finder(files), "file string, offset long, length long")
-    dealt = places.repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    # with a number, as tiny index rows say nothing of the bytes that they make a task read
+    dealt = places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
