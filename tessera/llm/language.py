@@ -173,9 +173,10 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None) -> DataFram
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, whose language can be told: null texts and texts without a letter go.
+    """The rows of docs whose language can be told, with it in `lang` where that is null: others' stays as it is.
 
-    Where nothing could be learned (no labelled row), only those go.
+    Null texts and texts without a letter go. Where nothing could be learned (no labelled row), only those go, and a null
+    `lang` stays. Other columns are unchanged; repeated rows are treated alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -185,6 +186,10 @@ def keep_known(docs: DataFrame) -> DataFrame:
         parse = _parser(model.value)
         for b in it:
             texts = b.column("text").to_pylist()
-            yield b.filter(pa.array([parse(t)[0] != "und" if parse.langs else bool(t and _LETTERS.search(t)) for t in texts], pa.bool_()))
+            told = [parse(t)[0] if parse.langs else None if t and _LETTERS.search(t) else "und" for t in texts]
+            at = b.schema.get_field_index("lang")
+            lang = b.column(at)
+            filled = pa.array([x if x is not None else y for x, y in zip(lang.to_pylist(), told, strict=True)], lang.type)
+            yield b.set_column(at, b.schema.field(at), filled).filter(pa.array([x != "und" for x in told], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
