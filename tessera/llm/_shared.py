@@ -90,6 +90,22 @@ class Table(dict):
         return value
 
 
+_KEPT: dict[str, list[dict]] = {}
+
+
+def keep(owner: str, *tables: dict) -> None:
+    """Name the tables that an operator's tasks leave in a Python worker for its next tasks."""
+    _KEPT.setdefault(owner, []).extend(tables)
+
+
+def sole(*owners: str) -> None:
+    """Empty the tables of all other operators: workers are reused, and would hold those of each operator they ran."""
+    for owner, tables in _KEPT.items():
+        if owner not in owners:
+            for t in tables:
+                t.clear()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNK = 1 << 18  #: bytes of text that are hashed at a time

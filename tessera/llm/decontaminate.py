@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ROLL, Table, batches, bounded_batches, text_bytes
+from ._shared import ROLL, Table, batches, bounded_batches, keep, sole, text_bytes
 
 WINDOW = 13  #: tokens; shorter items are looked up whole
 LEAST = 5  #: items with fewer tokens are too short to tell and match nothing
@@ -197,9 +197,11 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 _BUILT: dict[int, Block] = {}
+keep("decontaminate", _BUILT, _TOKENS)
 
 
 def _built(cast) -> Block:
+    sole("decontaminate")
     if cast.id not in _BUILT:
         _BUILT.clear()
         _BUILT[cast.id] = Block(cast.value)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ROLL, batches, bounded_batches, cut, discard, hashed_words, longs, spread, text_bytes
+from ._shared import ROLL, batches, bounded_batches, cut, discard, hashed_words, longs, sole, spread, text_bytes
 from .components import components
 
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
@@ -69,6 +69,7 @@ def shingles(column: pa.Array, width: int) -> list[np.ndarray]:
 
 def _count(width: int):
     def run(it):
+        sole()
         total = np.zeros(CELLS, np.uint8)
         for b in it:
             h = shingles(b.column("t"), width)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Table, batches, bounded_batches, held_out
+from ._shared import Table, batches, bounded_batches, held_out, keep, sole
 
 #: The sample to learn from: for each language so many documents (those of smallest hash), distinct words
 #: and letters at most.
@@ -24,6 +24,7 @@ SAMPLE_DOCS, SAMPLE_LETTERS = 200, 60_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _MODELS: dict[tuple, "CrossParser"] = {}
+keep("language", _MODELS)
 
 
 class SuffixAutomaton:
@@ -141,6 +142,7 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
 
 def _parser(words: dict[str, list[str]]) -> CrossParser:
     """The parser of these words; a worker keeps the last one built."""
+    sole("language")
     key = tuple((k, hash(tuple(v))) for k, v in sorted(words.items()))
     if key not in _MODELS:
         _MODELS.clear()

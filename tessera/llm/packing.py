@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Table, batches, bounded_batches
+from ._shared import Table, batches, bounded_batches, keep, sole
 
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -27,6 +27,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
+keep("packing", _TOKENIZERS)
 
 
 class WordTokenizer:
@@ -106,6 +107,7 @@ class SumOfSquares:
 
 def _packer(file: str, capacity: int, end_id: int):
     def run(it):
+        sole("packing")
         if file not in _TOKENIZERS:
             _TOKENIZERS.clear()
             _TOKENIZERS[file] = WordTokenizer(file)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Table, held_out, text_bytes
+from ._shared import Table, held_out, keep, text_bytes
 
 BITS = 18  #: of a feature's index: 2**18 weights, 1 MB
 _PIECE = re.compile(r"[^\W\d_]+|\d+|([^\w\s]|_)\1*")
@@ -30,6 +30,7 @@ def _pieces(word: bytes) -> bytes:
 
 
 _PIECES = Table(_pieces, 300_000)
+keep("features", _PIECES)
 
 
 def ngrams(text: bytes) -> tuple[np.ndarray, int]:
