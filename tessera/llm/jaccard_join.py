@@ -7,8 +7,8 @@ same for all; here rare ones come first, by a count of all n-grams in a table of
   2. the groups' prefix elements are dealt by element, in packed arrays and one exchange. Where two groups meet on an
      element, the pair is filtered by size, by the element's place in either prefix, and by the element before it: if that
      is the same in both, the pair meets there as well, so only the first element in common counts;
-  3. group pairs that are left are expanded to their classes, filtered by the parity of their elements' hashes in 1024
-     bits, whose distance never exceeds that of the sets, and verified on the whole texts.
+  3. group pairs that are left are expanded to their classes, filtered by the parity of their elements' hashes in at
+     least BITS bits and two for each element, whose distance never exceeds that of the sets, and verified on the whole texts.
 
 An element that more than RUN groups hold is not expanded into all pairs, nor is a pair of groups with many classes.
 Each holder is compared with a few others, the hubs, chosen by size and hash, and verified links join components. In
@@ -33,7 +33,7 @@ from .components import components
 CELLS = 1 << 20  #: counters of n-grams; 1 byte each in a task's row, and on the way to the executors
 MAP = 1 << 23  #: bits of a map of elements
 SLICES = 32
-BITS = 1024  #: of a class's parity map
+BITS = 1024  #: of a class's parity map, at least; a power of two, as are those of larger sets
 RUN = 10  #: groups on one element, or classes of a group, whose pairs are all made at once
 FEW = 64  #: holders in other components, or with other elements before, that are paired with all others
 ROUNDS = 1  #: in which holders of common elements are dealt anew
@@ -118,10 +118,21 @@ def _ordered(h: np.ndarray, rare: np.ndarray) -> np.ndarray:
 
 
 def _parity(h: np.ndarray) -> bytes:
-    odd = np.bincount((h >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Whether the number of elements is odd, for each remainder of their hashes; about n / 4 to n / 2 bytes for n of them."""
+    bits = max(BITS, 1 << (2 * len(h) - 1).bit_length()) if len(h) else BITS
+    odd = np.bincount((h >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(maps: list[bytes], width: int) -> np.ndarray:
+    """Maps of one length as rows of `width` words: a map for half as many remainders is the sum of its halves."""
+    out = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+    while out.shape[1] > width:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
 def _key(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes())
 
@@ -394,8 +405,13 @@ def _near(percent: int):
                 continue
             n = b.column("na").to_numpy() + b.column("nb").to_numpy()
             least = -(-percent * n // (100 + percent))  # elements in common
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
-            ok = np.bitwise_count(x ^ y).sum(axis=1) <= n - 2 * least
+            x, y = (b.column(c).to_pylist() for c in ("bits_a", "bits_b"))
+            sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+            ok = np.zeros(len(n), bool)
+            for size in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == size).all(axis=1))
+                p, q = (_folded([maps[i] for i in at], int(size.min()) // 8) for maps in (x, y))
+                ok[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= (n - 2 * least)[at]
             yield b.select(["a", "b", "ra", "rb"]).filter(pa.array(ok))
 
     return run

@@ -104,6 +104,30 @@ def test_jaccard_of_crowded_elements(spark, kw):
     assert got == linked(docs)
 
 
+def test_jaccard_of_long_texts_of_unlike_sizes(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    base, docs = rng.choices(vocab, k=1030), []
+    for i, (start, end, changed) in enumerate([(0, 1030, 0), (0, 1020, 25), (0, 1020, 31), (0, 1030, 33), (120, 1030, 12), (0, 790, 0), (0, 1030, 60), (0, 600, 0)]):
+        w = list(base)
+        for at in rng.sample(range(0, 1030, 5), changed):
+            w[at] = f"new{i}"
+        docs.append((i, " ".join(w[start:end]), "en"))
+    docs += [(20, " ".join(base * 3), "en"), (21, " ".join(base * 2 + rng.choices(vocab, k=300)), "en"), (22, " ".join(base * 2 + rng.choices(vocab, k=400)), "en")]
+    want = linked(docs)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, docs)).collect()} == want
+    assert sum(i == c for i, c in want.items()) > 2 and sum(i != c for i, c in want.items()) > 2
+    sizes = [3, 500, 513, 1030, 2048, 2049, 4000]
+    for a in sizes:
+        for b in sizes:
+            x = np.unique(np.random.default_rng(a + 7).integers(0, 2**63, a).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: b // 2], np.random.default_rng(b).integers(0, 2**63, b).astype(np.uint64)]))
+            p, q = jaccard_join._parity(x), jaccard_join._parity(y)
+            width = min(len(p), len(q)) // 8
+            distance = int(np.bitwise_count(jaccard_join._folded([p], width) ^ jaccard_join._folded([q], width)).sum())
+            assert distance <= len(np.setxor1d(x, y)) and (distance - len(np.setxor1d(x, y))) % 2 == 0
+
+
 def test_jaccard_rows_that_share_an_id_or_have_none(spark):
     one, two = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(1, one, "en"), (1, two, "en"), (1, one, "en"), (2, two, "en"), (None, one, "en"), (None, "u v w x y z", "en"), (3, None, "en"), (4, "", "en"), (4, "", "en")]
