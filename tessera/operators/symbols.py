@@ -1,14 +1,16 @@
-"""Structure-aware chunks: Python by its syntax tree, brace languages by a scanner of declarations.
+"""Structure-aware chunks: Python by its syntax tree, other languages by scanners of declarations.
 
-The scanner tells declarations by their first words and ends them at the matching brace, outside strings
-and comments. It sees no grammar: unusual layouts fall back to line windows. Nested declarations stay in
-the outermost one, and a file with any declaration yields only declarations.
+The scanners tell declarations by their first words, functions of C and C++ by what stands before a brace, and end them
+at the matching brace, outside strings and comments. They see no grammar: a file in which they find nothing is one chunk.
+Nested declarations stay in the outermost one, and a file with any declaration yields only declarations; a Python file
+without any yields its statements.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,14 +20,20 @@ from ..functions.text import arity, doc_proximity, lines, signature, trim_space,
 from ..schema import content_hash
 
 LEAST, MOST = 50, 8000
-_DECLARATION = re.compile(r"^\s*(?:export\s+|default\s+|pub(?:\([^)]*\))?\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+|unsafe\s+|const\s+(?=fn))*(fn|func|function|class|struct|interface|enum)\s+(?:\([^)]*\)\s*)?(\w+)")
+_DECLARATION = re.compile(r"^\s*(?:export\s+|default\s+|pub(?:\([^)]*\))?\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+|unsafe\s+|const\s+(?=fn))*(fn|func|function|class|struct|interface|enum)\s+(\([^)]*\)\s*)?(\w+)")
 _IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b")
 _KIND = {"fn": "function", "func": "function", "function": "function"}
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
+_C_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'|^[ \t]*#(?:\\\n|[^\n])*", re.S | re.M)
+_C_LABELS = re.compile(r"(?:\s*(?:public|private|protected)\s*:(?!:))*\s*")
+_C_NAME = re.compile(r"(operator\s*\S+|~?\w+(?:\s*::\s*~?\w+)*)\s*$")
+_C_OTHER = {"if", "for", "while", "switch", "catch", "sizeof", "return", "decltype", "alignas", "__attribute__", "__declspec"}
+_BASH_NOISE = re.compile(r"\\.|'[^']*'|\"(?:\\.|[^\"\\])*\"|(?:^|(?<=[\s;]))#[^\n]*", re.S | re.M)
+_BASH = re.compile(r"^[ \t]*(?:function[ \t]+([\w:.-]+)[ \t]*(?:\([ \t]*\))?|([\w:.-]+)[ \t]*\([ \t]*\))\s*\{", re.M)
 
 
 def python_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """(first line, last line, kind, name) of the outermost functions and classes."""
+    """(first line, last line, kind, name) of the outermost functions and classes; where there is none, of all statements."""
     out = []
 
     def walk(node):
@@ -36,14 +44,70 @@ def python_spans(text: str) -> list[tuple[int, int, str, str]]:
                 walk(child)
 
     try:
-        walk(ast.parse(text))
+        tree = ast.parse(text)
+        walk(tree)
     except (SyntaxError, ValueError, RecursionError):
         return []
+    return out or [(x.lineno, x.end_lineno, None, None) for x in tree.body]
+
+
+def _blank(noise: re.Pattern, text: str) -> str:
+    return noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def _function_of(head: str) -> str | None:
+    """The function's name, if what stands before a brace is the head of one."""
+    before, opened, after = head.partition("(")
+    if "operator" in before and not before.split("operator")[-1].strip():  # the call operator
+        return "operator()"
+    if not opened or ")" not in after or "=" in before and "operator" not in before or re.match(r"\s*(?:namespace|enum|using)\b", before):
+        return None
+    name = _C_NAME.search(before[-300:])
+    return None if name is None or name[1] in _C_OTHER else re.sub(r"\s+", "", name[1])
+
+
+def c_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """Functions with a body of C and C++, those in classes and namespaces too."""
+    plain = _blank(_C_NOISE, text)
+    breaks = [m.start() for m in re.finditer("\n", plain)]
+    out, depth, header, inside = [], 0, 0, None
+    for m in re.finditer(r"[{};]", plain):
+        at = m.start()
+        if m[0] == "{":
+            if inside is None and (name := _function_of(plain[header:at])):
+                inside = (_C_LABELS.match(plain, header, at).end(), depth, name)
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            # a brace or comma behind it: that was the value of a member, in a constructor's head
+            if inside is not None and depth <= inside[1] and plain[at + 1 : at + 200].lstrip()[:1] not in ("{", ","):
+                out.append((bisect_right(breaks, inside[0]) + 1, bisect_right(breaks, at) + 1, "function", inside[2]))
+                inside = None
+        if inside is None:
+            header = at + 1
+    return out
+
+
+def bash_spans(text: str) -> list[tuple[int, int, str, str]]:
+    plain = _blank(_BASH_NOISE, text)
+    breaks = [m.start() for m in re.finditer("\n", plain)]
+    out, end = [], 0
+    for m in _BASH.finditer(plain):
+        if m.start() < end:
+            continue
+        depth, end = 1, len(plain) - 1
+        for b in re.compile("[{}]").finditer(plain, m.end()):
+            depth += 1 if b[0] == "{" else -1
+            if not depth:
+                end = b.start()
+                break
+        first = m.start(1) if m[1] else m.start(2)
+        out.append((bisect_right(breaks, first) + 1, bisect_right(breaks, end) + 1, "function", m[1] or m[2]))
     return out
 
 
 def brace_spans(text: str, rust: bool) -> list[tuple[int, int, str, str]]:
-    rows = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text).split("\n")
+    rows = _blank(_NOISE, text).split("\n")
     out, i, inside, depth = [], 0, None, 0
     while i < len(rows):
         if m := _DECLARATION.match(rows[i]):
@@ -56,7 +120,7 @@ def brace_spans(text: str, rust: bool) -> list[tuple[int, int, str, str]]:
                 j += 1
             kind = _KIND.get(m[1], m[1])
             if not (rust and kind == "enum"):
-                out.append((i + 1, min(j, len(rows) - 1) + 1, "method" if inside is not None and kind == "function" else kind, m[2]))
+                out.append((i + 1, min(j, len(rows) - 1) + 1, "method" if (inside is not None or m[2]) and kind == "function" else kind, m[3]))
                 i = j + 1
                 continue
         if rust and _IMPL.match(rows[i]):
@@ -68,11 +132,18 @@ def brace_spans(text: str, rust: bool) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def spans(text: str, language: str) -> list[tuple[int, int, str | None, str | None]]:
+    if language in ("text", "json"):
+        return []
+    scan = {"python": python_spans, "c": c_spans, "cpp": c_spans, "bash": bash_spans}.get(language)
+    return scan(text) if scan else brace_spans(text, language == "rust")
+
+
 def _spans(batches):
     for pdf in batches:
         rows = []
         for path, text, language in zip(pdf["file_path"], pdf["content"], pdf["language"], strict=True):
-            found = python_spans(text) if language == "python" else brace_spans(text, language == "rust") if language not in ("text", "json", "bash") else []
+            found = spans(text, language)
             all_lines = text.split("\n")
             for a, b, kind, name in found or [(1, len(all_lines), None, None)]:
                 rows.append((path, "\n".join(all_lines[a - 1 : b]), a, b, language, name, kind, text))

@@ -43,6 +43,19 @@ def test_symbol_chunks(spark):
     assert got == {("a.rs", "first"): ("method", 2, 0), ("a.rs", "second"): ("method", 5, 0), ("b.py", "load"): ("function", 4, 2)}
 
 
+def test_spans_of_other_languages():
+    c = "#include <a.h>\n#define F(x) { x\nstruct point { int x; };\n\nstatic int add(int a,\n               int b)\n{\n    return a + b; // }\n}\nstruct point *make(void) { if (1) { f(); } return \"}\"; }\nint table[] = { f(1), 2 };\nint later(int);\n"
+    assert symbols.spans(c, "c") == [(5, 9, "function", "add"), (10, 10, "function", "make")]
+    cpp = "namespace a {\nclass B : public C {\npublic:\n  B() : x{1}, y(2) {\n    go();\n  }\n  bool operator==(const B& o) const { return x == o.x; }\n  int x;\n};\n}\nvoid a::B::run() const {\n}\n"
+    assert symbols.spans(cpp, "cpp") == [(4, 6, "function", "B"), (7, 7, "function", "operator=="), (11, 12, "function", "a::B::run")]
+    go = "type T struct {\n  n int\n}\nfunc (t *T) Get() int {\n  return t.n\n}\nfunc New() *T {\n  return &T{}\n}\n"
+    assert symbols.spans(go, "go") == [(4, 6, "method", "Get"), (7, 9, "function", "New")]
+    bash = "# start() {\nset -e\nstart() {\n  echo \"${1}}\" # }\n}\nfunction stop\n{\n  kill ${pid}\n}\nstart a\n"
+    assert symbols.spans(bash, "bash") == [(3, 5, "function", "start"), (6, 9, "function", "stop")]
+    assert symbols.spans("a = 1\nb = [\n  2]\n", "python") == [(1, 1, None, None), (2, 3, None, None)]
+    assert symbols.spans("int f( {", "c") == [] == symbols.spans("", "bash") == symbols.spans("{}", "json")
+
+
 def test_text_chunks_and_doc_comments(spark):
     notes = "\n".join(f"line {i} of the file" for i in range(70))
     rows = spark.createDataFrame([("notes.txt", notes, "text")], "file_path string, content string, language string")
