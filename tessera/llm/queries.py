@@ -84,4 +84,15 @@ ORACLE_SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
                sha256(coalesce(array_to_string(list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' '), '')) AS kept_sha256
         FROM k""",
+    "op8_jaccard": """
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+             g AS (SELECT doc_id, i, lead(w, 4) OVER k AS fifth, hash(concat_ws(' ', w, lead(w, 1) OVER k, lead(w, 2) OVER k, lead(w, 3) OVER k, lead(w, 4) OVER k)) AS x
+                   FROM t WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+             e AS (SELECT DISTINCT doc_id, x FROM g WHERE i = 1 OR fifth IS NOT NULL),
+             n AS (SELECT d.doc_id, count(x)::BIGINT AS n_shingles FROM d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * m >= 75 * (x.n_shingles + y.n_shingles - m)),
+             r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
+        SELECT n.doc_id, n_shingles, min(seen) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n_shingles""",
 }
