@@ -175,9 +175,9 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None) -> DataFram
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told, with it in `lang` where that is null: others' stays as it is.
+    """The rows of docs whose language can be told, with the predicted language in `lang`, whatever that held.
 
-    Null texts and texts without a letter go. Where nothing could be learned (no labelled row), only those go, and a null
+    Null texts and texts without a letter go. Where nothing could be learned (no labelled row), only those go, and
     `lang` stays. Other columns are unchanged; repeated rows are treated alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -190,8 +190,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
             texts = b.column("text").to_pylist()
             told = [parse(t)[0] if parse.langs else None if t and _LETTERS.search(t) else "und" for t in texts]
             at = b.schema.get_field_index("lang")
-            lang = b.column(at)
-            filled = pa.array([x if x is not None else y for x, y in zip(lang.to_pylist(), told, strict=True)], lang.type)
-            yield b.set_column(at, b.schema.field(at), filled).filter(pa.array([x != "und" for x in told], pa.bool_()))
+            lang = pa.array(told, b.column(at).type) if parse.langs else b.column(at)
+            yield b.set_column(at, b.schema.field(at), lang).filter(pa.array([x != "und" for x in told], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -375,6 +375,9 @@ def test_language(spark):
     assert all(got[i][0] == k for i, _, k in rows) and got[100] == ("und", 0.0) == got[101] and got[102][0] == "en"
     kept = {r.doc_id: r.lang for r in language.keep_known(frame(spark, rows + extra)).collect()}
     assert kept == {i: k for i, _, k in rows} | {102: "en"}
+    # 106 is held out: nothing is learned from its wrong label, and the prediction takes its place
+    assert {r.doc_id: r.lang for r in language.keep_known(frame(spark, [*rows, (106, rows[0][1], "de")])).collect()}[106] == "en"
+    assert [r.lang for r in language.keep_known(frame(spark, [(1, "abc", None), (2, "1", None)])).collect()] == [None]
 
 
 def test_pipeline_against_brute_force(spark, docs, tmp_path):
