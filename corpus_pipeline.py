@@ -1,6 +1,6 @@
 """A training corpus from raw documents, stage by stage; each stage's table is written and read again.
 
-language_id     documents without any letter, whose language can't be told, go
+language_id     documents without any letter, whose language can't be told, go; the others get the predicted language
 ngram_jaccard   of each group of near copies the document with the smallest id stays
 decontaminate   documents that hold a benchmark item, be it with other numbers or names, go
 pii             personal data in the texts is replaced by surrogates (n_chars follows the new text)
