@@ -1,10 +1,12 @@
 """Every query of the catalogue against its SQL, on the smallest tables."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from tessera.operators import knn
 from tessera.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -38,3 +40,55 @@ def test_term_variants_of_whole_texts(spark, tmp_path):
     own = ["nothing", "usertoken usertokens", "user", "bearer jwt sanctum token tokens", "repo repository storage"]
     got = sorted((r.item_id, r.variants) for r in catalogue.QUERIES["text_term_variants"](spark, str(tmp_path)).collect())
     assert got == sorted([(1, v) for v in phrase + own] + [(2, v) for v in phrase])
+
+
+def _vectors(spark, folder, rows):
+    """The rows as table embeddings, in two files, and a connection that has it."""
+    for i in range(2):
+        spark.createDataFrame(rows[i::2], "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("append").parquet(f"{folder}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return c
+
+
+def _odd_vectors():
+    rng = random.Random(7)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    centre = vector()
+    rows = [[i, vector(), i % 3] for i in range(400)]
+    for i in range(0, 400, 7):  # copies
+        rows[i][1] = list(centre)
+    for i in range(3, 400, 9):  # all but copies
+        rows[i][1] = [x + rng.choice((0, 1e-7, -2e-7)) for x in centre]
+    for i in (1, 50, 77, 150):
+        rows[i][1] = None
+    for i in (2, 100, 200):
+        rows[i][1][3] = None
+    for i, n in ((5, 0), (6, 4), (250, 4), (8, 9), (300, 9)):
+        rows[i][1] = (vector() + vector())[:n]
+    return rows
+
+
+def _same(got, want):
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_knn_batch_of_odd_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(knn, "COMPONENTS", 16)
+    monkeypatch.setattr(knn, "ROWS", 90)
+    rows = _odd_vectors()
+    for i, x in ((9, float("nan")), (10, float("inf")), (350, float("nan")), (11, -float("inf")), (12, 3e38)):
+        rows[i][1] = [x] + rows[0][1][1:]
+    rows.append([None, rows[0][1], 1])
+    c = _vectors(spark, tmp_path, rows)
+    df = catalogue.QUERIES["knn_batch_top5"](spark, str(tmp_path))
+    assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
+    _same(df.select("query_id", "rank", "vec_id", "distance").collect(), c.execute(catalogue.ORACLE_SQL["knn_batch_top5"]).fetchall())
+
+
+def test_knn_batch_of_few_vectors(spark, tmp_path):
+    for n in (0, 1, 3):
+        c = _vectors(spark, tmp_path / str(n), [[50 * i, [1.0 * i], 0] for i in range(n)])
+        got = catalogue.QUERIES["knn_batch_top5"](spark, str(tmp_path / str(n))).collect()
+        _same(got, c.execute(catalogue.ORACLE_SQL["knn_batch_top5"]).fetchall())
+        assert len(got) == n * (n - 1)
