@@ -92,3 +92,11 @@ def test_knn_batch_of_few_vectors(spark, tmp_path):
         got = catalogue.QUERIES["knn_batch_top5"](spark, str(tmp_path / str(n))).collect()
         _same(got, c.execute(catalogue.ORACLE_SQL["knn_batch_top5"]).fetchall())
         assert len(got) == n * (n - 1)
+
+
+def test_retrieval_metrics_of_odd_vectors(spark, tmp_path):
+    c = _vectors(spark, tmp_path, _odd_vectors())
+    df = catalogue.QUERIES["retrieval_metrics"](spark, str(tmp_path))
+    assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
+    want = c.execute(catalogue.ORACLE_SQL["retrieval_metrics"])
+    _same(df.select([d[0] for d in want.description]).collect(), want.fetchall())
