@@ -45,7 +45,12 @@ WEIGHTS = {
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: White space of Unicode, as (?U)\s has it.
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BETWEEN = r"[^\p{IsAlphabetic}\p{N}_]+"
 _HUMP = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: The character before a border of _HUMP.
+_BEFORE_HUMP = r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9]|[A-Z][a-z])|[0-9](?=[A-Za-z])"
 
 
 def ascii_lower(x: Column) -> Column:
@@ -53,7 +58,7 @@ def ascii_lower(x: Column) -> Column:
 
 
 def trim_space(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(_SPACE))
 
 
 def lines(x: Column) -> Column:
@@ -73,12 +78,19 @@ def fragments(token: Column) -> Column:
 
 def tokens(text: Column, stop: bool = True) -> Column:
     """Distinct tokens in order: each word lowered, then its fragments; with `stop`, no stop words."""
-    raw = F.split(text, r"[^\p{IsAlphabetic}\p{N}_]+")
+    raw = F.split(text, _BETWEEN)
     each = F.flatten(F.transform(raw, lambda t: F.concat(F.array(ascii_lower(t)), fragments(t))))
     keep = lambda t: (F.octet_length(t) >= 2) & (~t.isin(STOP_WORDS) if stop else F.lit(True))
     return F.array_distinct(F.filter(each, keep))
 
 
+def token_set(text: Column) -> Column:
+    """tokens(text, stop=False) in no stated order: a text's distinct words are lowered and cut at once, not one by one."""
+    words = F.array_join(F.array_distinct(F.split(text, _BETWEEN)), " ")
+    both = F.transform(F.array(words), lambda w: F.split(ascii_lower(F.concat(w, F.lit(" "), F.regexp_replace(w, _BEFORE_HUMP, "$0 "))), " "))
+    return F.filter(F.array_distinct(F.element_at(both, 1)), lambda t: F.octet_length(t) >= 2)
+
+
 def variants(token: Column) -> Column:
     """A token, without its plural s, and its aliases; sorted."""
     alias = F.create_map(*(x for k, v in ALIASES.items() for x in (F.lit(k), words(*v))))

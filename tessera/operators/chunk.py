@@ -15,14 +15,16 @@ SIZE, OVERLAP, LEAST = 50, 10, 50
 
 def adaptive_plan(all_lines: Column, kind: Column | None = None, arity: Column | None = None, depth: Column | None = None) -> Column:
     """Struct (size, overlap) of the windows, from blank lines, line lengths, token density and the symbol's metadata."""
-    count = lambda x, t: (F.length(x) - F.length(F.replace(x, F.lit(t), F.lit("")))) / len(t)
-    signs = lambda x: reduce(lambda a, b: a + b, [count(x, t) for t in ("{", "}", "(", ")", "=>", "::")] + [F.contains(x, F.lit(t)).cast("int") for t in ("if ", "for ", "while ", "match ", "loop ", "else")])
+    count = lambda x, t: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(t), F.lit("")))) / len(t)
+    holding = lambda full, x, t: F.when(F.contains(x, F.lit(t)), F.size(F.filter(full, lambda y: F.contains(y, F.lit(t))))).otherwise(0)
+    signs = lambda full, x: reduce(lambda a, b: a + b, [count(x, t) for t in ("{", "}", "(", ")", "=>", "::")] + [holding(full, x, t) for t in ("if ", "for ", "while ", "match ", "loop ", "else")])
     step = lambda c, v: F.when(c, v).otherwise(0)
     once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def statistics(full: Column) -> Column:
         n, m = F.size(all_lines), F.size(full)
-        sums = F.aggregate(full, F.struct(F.lit(0.0).alias("signs"), F.lit(0).alias("bytes")), lambda a, x: F.struct((a["signs"] + signs(x)).alias("signs"), (a["bytes"] + F.octet_length(x)).alias("bytes")))
+        # no sign spans lines, so all lines are looked at as one text
+        sums = once(F.array_join(full, "\n"), lambda x: F.struct(signs(full, x).alias("signs"), (F.octet_length(x) - F.greatest(m - 1, F.lit(0))).alias("bytes")))
         return once(sums, lambda s: F.struct(n.alias("n"), (s["bytes"] / F.greatest(m, F.lit(1))).alias("width"), ((n - m) / F.greatest(n, F.lit(1))).alias("blank"), (s["signs"] / F.greatest(m, F.lit(1))).alias("density")))
 
     def plan(x: Column) -> Column:

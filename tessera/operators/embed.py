@@ -9,15 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_set
 
 BATCH, RETRIES = 24, 3
 
 
 def hashed_counts(text: Column, dims: int = 64) -> Column:
     """Counts of a text's distinct tokens by bucket of their md5: `dims` integers."""
-    buckets = F.transform(tokens(text, stop=False), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
-    return _bind(buckets, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(found, lambda b: b == d))))
+    # a bucket is a character, so that its tokens are counted by dropping it from one string
+    signs = F.array(*(F.lit(chr(ord("0") + d)) for d in range(dims)))
+    found = F.transform(token_set(text), lambda t: F.element_at(signs, (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims + 1).cast("int")))
+    return _bind(F.array_join(found, ""), lambda s: F.transform(signs, lambda c: F.length(s) - F.length(F.replace(s, c, F.lit("")))))
 
 
 def _bind(value: Column, body) -> Column:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -127,3 +128,21 @@ def test_knn_and_embedding(spark):
     assert embed.batch_ranges(10, 4) == [(0, 4), (4, 8), (8, 10)]
     texts = spark.createDataFrame([("ab",), (None,)], "content string")
     assert sorted(r.vector for r in embed.embed(texts, lambda t: [[float(len(x))] for x in t]).collect()) == [[0.0], [2.0]]
+
+
+def test_whole_text_tokens_and_trimming(spark):
+    rng = random.Random(3)
+    odd = [*"aBcXY19_-. \t\n{", "HTTPServer2", "x9", "éÉ", "İ", "١", "Ⅰ", "́", "\x1c", "\x85", "\xa0", "᠎", " ", "​", "　", "if ", "ab", "AB"]
+    rows = [("".join(rng.choices(odd, k=rng.randrange(60))),) for _ in range(300)] + [("",), (None,)]
+    texts = spark.createDataFrame(rows, "x string").select("x", T.token_set(F.col("x")).alias("s"), T.tokens(F.col("x"), stop=False).alias("t"), embed.hashed_counts(F.col("x"), 8).alias("n")).collect()
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8
+    for r in texts:
+        assert (r.s is None and r.t is None) if r.x is None else sorted(r.s) == sorted(r.t)
+        assert r.x is None or r.n == [sum(bucket(t) == b for t in r.t) for b in range(8)]
+    every = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.filter(T.trim_space(F.concat("c", F.lit("a b"), "c")) != F.regexp_replace(F.concat("c", F.lit("a b"), "c"), r"(?U)^\s+|\s+$", "")).count() == 0
+    # 11 signs in 3 lines, or in 4: an "if" that ends its line is none
+    dense = ["  if (x) {", "", "} else {  ", "for (y) {"]
+    for code, want in ((dense, (36, 7)), ([*dense, "  if  "], (50, 10))):
+        plan = one(spark, chunk.adaptive_plan(T.lines(F.lit("\n".join(code * 2)))))
+        assert (plan.size, plan.overlap) == want
