@@ -62,10 +62,16 @@ def _few_copies(v: _Vectors, k: int) -> np.ndarray:
     return np.sort(order[n - np.maximum.accumulate(np.where(first, n, 0)) <= k])
 
 
-def _augmented(x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose inner products, of a query's and a table's, are squared distances but for rounding; and the lengths."""
+def _augmented(x: np.ndarray, query: bool) -> np.ndarray:
+    """Rows whose inner products, of a query's and a table's, are squared distances, less room for rounding.
+
+    That room goes with the square of both lengths' sum, so that a long vector takes none from other pairs.
+    """
     square, one = (x * x).sum(axis=1), np.ones(len(x))
-    return np.column_stack([-2 * x, one, square] if query else [x, square, one]), np.sqrt(square)
+    # far above the rounding of the products and of the sums
+    room = 1e-15 * (x.shape[1] + 102)
+    less, length = square * (1 - room), np.sqrt(square)
+    return np.column_stack([-2 * x, one, less, -2 * room * length] if query else [x, less, one, length])
 
 
 def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -86,7 +92,7 @@ class _Search:
         order = np.argsort(~queries.plain, kind="stable")
         self.q, self.n_plain = queries.take(order), int(queries.plain.sum())
         self.kind, self.d, self.ids = np.full((len(order), k), _NONE, np.int8), np.zeros((len(order), k)), np.zeros((len(order), k), np.int64)
-        self.augmented, self.length = _augmented(self.q.x[: self.n_plain], True)
+        self.augmented = _augmented(self.q.x[: self.n_plain], True)
 
     def meet(self, rows: _Vectors) -> None:
         same, n, p = rows.x.shape[1] == self.q.x.shape[1], len(self.q.ids), self.n_plain
@@ -95,9 +101,9 @@ class _Search:
             plain = plain.take(_few_copies(plain, self.k))
             for c in range(0, len(plain.ids), _TABLE):
                 piece = plain.take(slice(c, c + _TABLE))
-                table, longest = _augmented(piece.x, False)
+                table = _augmented(piece.x, False)
                 for a in range(0, p, _QUERIES):
-                    self._by_products(a, min(a + _QUERIES, p), piece, table, longest.max())
+                    self._by_products(a, min(a + _QUERIES, p), piece, table)
         # what the products don't serve: every row for odd queries, odd rows for plain ones
         odd = rows.take(np.flatnonzero(~rows.plain)) if same else rows
         for first, last, part in ((0, p, odd), (p, n, rows)):
@@ -105,16 +111,16 @@ class _Search:
                 for a in range(first, last, _QUERIES):
                     self._by_components(a, min(a + _QUERIES, last), part.take(slice(c, c + _QUERIES)))
 
-    def _by_products(self, a: int, b: int, piece: _Vectors, table: np.ndarray, longest: float) -> None:
-        near = self.augmented[a:b] @ table.T
-        # far above the rounding of the products and of the sums
-        slack = (1e-15 * (table.shape[1] + 100)) * (longest + self.length[a:b]) ** 2 + 1e-300
+    def _by_products(self, a: int, b: int, piece: _Vectors, table: np.ndarray) -> None:
+        least = self.augmented[a:b] @ table.T
         bound = np.where(self.kind[a:b, -1] == _NUMBER, self.d[a:b, -1], np.inf)
         new = np.flatnonzero(np.isinf(bound))
         if len(new) and len(piece.ids) >= self.k:
-            others = np.where(self.q.ids[a:b][new][:, None] == piece.ids[None, :], np.inf, near[new])
-            bound[new] = np.partition(others, self.k - 1, axis=1)[:, self.k - 1] + slack[new]
-        q, c = np.nonzero(near <= (bound + slack)[:, None])
+            others = np.where(self.q.ids[a:b][new][:, None] == piece.ids[None, :], np.inf, least[new])
+            first = np.argpartition(others, self.k - 1, axis=1)[:, : self.k]
+            d = _summed(piece.x[first.ravel()], np.repeat(self.q.x[a:b][new], self.k, axis=0)).reshape(first.shape)
+            bound[new] = np.where(np.isinf(np.take_along_axis(others, first, axis=1)), np.inf, d).max(axis=1)
+        q, c = np.nonzero(least <= (bound + 1e-300)[:, None])
         q = q + a
         other = self.q.ids[q] != piece.ids[c]
         q, c = q[other], c[other]

@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.operators import knn
@@ -100,3 +101,31 @@ def test_retrieval_metrics_of_odd_vectors(spark, tmp_path):
     assert "NestedLoopJoin" not in df._jdf.queryExecution().toString()
     want = c.execute(catalogue.ORACLE_SQL["retrieval_metrics"])
     _same(df.select([d[0] for d in want.description]).collect(), want.fetchall())
+
+
+def test_long_vectors_do_not_keep_others_from_being_ruled_out(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 8)).astype(np.float32).astype(np.float64)
+    x[7::500] *= 1e8
+    x[50:200:50] *= 1e8  # queries
+    x[1::700] = x[0]
+    rows = knn._Vectors(np.arange(len(x)), x, np.ones(x.shape, bool))
+    pairs, summed = [], knn._summed
+    monkeypatch.setattr(knn, "_summed", lambda a, b: pairs.append(len(a)) or summed(a, b))
+    search = knn._Search(rows.take(slice(0, None, 50)), 5)
+    search.meet(rows)
+    assert sum(pairs) < 0.02 * len(search.q.ids) * len(x)
+    for q, ids, d in zip(search.q.ids, search.ids, search.d, strict=True):
+        every = summed(x, np.broadcast_to(x[q], x.shape))
+        want = [i for i in np.lexsort((rows.ids, every)) if i != q][:5]
+        assert ids.tolist() == want and d.tolist() == every[want].tolist()
+
+
+def test_retrieval_metrics_of_long_vectors(spark, tmp_path):
+    rows = _odd_vectors()
+    for i in (20, 101, 300, 350):
+        rows[i][1] = [x * 1e4 for x in rows[0][1]] if i != 300 else [1e4, 2.0, 3.0, 4.0, 5.0, 6.0]
+    c = _vectors(spark, tmp_path, rows)
+    df = catalogue.QUERIES["retrieval_metrics"](spark, str(tmp_path))
+    want = c.execute(catalogue.ORACLE_SQL["retrieval_metrics"])
+    _same(df.select([d[0] for d in want.description]).collect(), want.fetchall())
